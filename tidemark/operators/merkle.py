@@ -149,7 +149,7 @@ class IncrementalRun:
         stream.write(bytearray(json.dumps(record).encode()))
         stream.close()
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = self.spark._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         overwrite[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(part, self._path(f"{self.folder}/CURRENT"), overwrite)
 
