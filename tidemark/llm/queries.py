@@ -1,0 +1,47 @@
+"""The queries of this subpackage by name, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import repeated_lines, tokens
+from tidemark.sources.tables import table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.find_repeated_lines(table(spark, sf_dir, "chunks"))
+
+
+def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.without_repeated_lines(table(spark, sf_dir, "chunks"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_table(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p8_ids": p8_ids}
+
+_P1 = r"""
+    with c as (
+        select distinct chunk_id, text, regexp_replace(regexp_extract(lower(source_url), '//([^/?#:]*)', 1), '^www\.', '') as site
+        from chunks where source_url is not null),
+    total as (select site, count(*) as total from c group by site),
+    line as (
+        select chunk_id, site, unnest(range(len(l)))::int as line_no, unnest(l) as line
+        from (select chunk_id, site, string_split(text, chr(10)) as l from c where text is not null)),
+    keyed as (select chunk_id, site, line_no, line, regexp_replace(lower(line), '[^\p{L}]', '', 'g') as k from line),
+    often as (
+        select site, k from keyed join total using (site) where length(k) >= 12
+        group by site, k having count(distinct chunk_id) >= 5 and count(distinct chunk_id) >= 0.05 * max(total)),
+"""
+SQL = {
+    "p1_found": _P1 + " hit as (select chunk_id, line_no from keyed semi join often using (site, k)) select chunk_id, line_no from hit",
+    "p1_cleaned": _P1 + r"""
+        kept as (select chunk_id, string_agg(line, chr(10) order by line_no) as text, count(*) as n from keyed anti join often using (site, k) group by chunk_id),
+        had as (select chunk_id, count(*) as n from keyed group by chunk_id)
+        select distinct chunk_id, case when c.text is null then null when source_url is null then c.text else coalesce(kept.text, '') end as text,
+               case when c.text is null then null when source_url is null then 0 else had.n - coalesce(kept.n, 0) end as removed
+        from chunks c left join kept using (chunk_id) left join had using (chunk_id)
+    """,
+}
