@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import repeated_lines, tokens
+from tidemark.llm import near_duplicates, repeated_lines, tokens
 from tidemark.sources.tables import table
 
 
@@ -16,11 +16,16 @@ def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf_dir, "chunks"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "chunks"))
+    return pairs.withColumnsRenamed({"a": "chunk_a", "b": "chunk_b"})
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p8_ids": p8_ids}
 
 _P1 = r"""
     with c as (
