@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_duplicates, repeated_lines, tokens
+from tidemark.llm import near_duplicates, page_content, quality, repeated_lines, residue, tokens
 from tidemark.sources.tables import table
 
 
@@ -21,11 +21,31 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumnsRenamed({"a": "chunk_a", "b": "chunk_b"})
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.find_no_prose(table(spark, sf_dir, "chunks"))
+
+
+def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(table(spark, sf_dir, "chunks"), title="title", kind="page_classification")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_content.find_boilerplate(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages"))
+
+
+def p4_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_content.main_content(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "chunks"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_content": p4_content, "p6_found": p6_found, "p8_ids": p8_ids}
 
 _P1 = r"""
     with c as (
