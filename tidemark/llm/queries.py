@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_duplicates, page_content, quality, repeated_lines, residue, tokens
+from tidemark.llm import near_duplicates, page_content, quality, repeated_lines, residue, scanned, tokens
 from tidemark.sources.tables import table
 
 
@@ -37,6 +37,14 @@ def p4_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_content.main_content(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.find_defects(table(spark, sf_dir, "chunks"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repair(table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "chunks"))
 
@@ -45,7 +53,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_content": p4_content, "p6_found": p6_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_content": p4_content, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p8_ids": p8_ids}
 
 _P1 = r"""
     with c as (
