@@ -138,10 +138,10 @@ def is_junk(text: str) -> bool:
     """Unreadable remains: code and style rules, hardly any letters among symbols, words that no language has (encoded bytes, no vowels)."""
     if len(text) < 12:
         return False
-    if _code.search(text):
-        return True
     if _plain(text):
         return False
+    if _code.search(text):
+        return True
     letters = len(_letters.findall(text))
     dense = len(text) - text.count(" ")
     if letters < 0.35 * dense and len(_odd.findall(text)) > 0.25 * dense:
