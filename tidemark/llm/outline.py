@@ -256,9 +256,11 @@ def sentences(lines: list[str], kind: list[int]) -> tuple[int, int]:
         if k == LABEL:
             text = line.strip()
             words = text.split()
-            if not text.isupper() and not _stop.search(text) and ("  " in text or n >= 3 and sum(w[0].isupper() or w[0].isdigit() for w in words) >= 0.6 * n and not _title.fullmatch(text.lower())):
+            if before == PROSE and n > 3 and text[0].islower() and "  " not in text:
+                k = PROSE
+            elif not text.isupper() and not _stop.search(text) and ("  " in text or n >= 3 and sum(w[0].isupper() or w[0].isdigit() for w in words) >= 0.6 * n and not _title.fullmatch(text.lower())):
                 k = ITEM
-            elif n <= 40 and _title.fullmatch(text.lower()) and before != PROSE:
+            elif before != PROSE and n <= 40 and _title.fullmatch(text.lower()):
                 k = HEADING
             elif _plain(f" {text.lower()} ") or before == PROSE and (text[0].islower() or _stop.search(text)) or _stop.search(text) and n >= 2:
                 k = PROSE

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_duplicates, page_content, quality, repeated_lines, residue, scanned, tokens
+from tidemark.llm import conduct, mixing, near_duplicates, page_content, quality, repeated_lines, residue, scanned, tokens
 from tidemark.sources.tables import table
 
 
@@ -53,7 +53,27 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_content": p4_content, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p8_ids": p8_ids}
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conduct.find_abuse(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conduct.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conduct.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_content": p4_content, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _P1 = r"""
     with c as (
