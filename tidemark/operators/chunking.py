@@ -80,7 +80,7 @@ def _over_sizes(fold, *settings: int):
         found = [[{"a": a, "b": b} for a, b in fold(s, *settings)] if s is not None else None for s in sizes.to_pylist()]
         return pa.array(found, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
 
-    return run
+    return run.asNondeterministic()  # else the optimizer copies the call into every expression that uses its result
 
 
 def _joined(pieces: Column, ranges: Column, between: str) -> Column:
