@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.operators import chunking_queries, corpus_queries, incremental_queries
+from tidemark.operators import chunking_queries, corpus_queries, incremental_queries, request_queries
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (chunking_queries, corpus_queries, incremental_queries):
+for _module in (chunking_queries, corpus_queries, incremental_queries, request_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
