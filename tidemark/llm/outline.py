@@ -211,7 +211,7 @@ def kinds(text: str, title: str | None = None, cut: bool = False) -> list[int]:
             out[i] = _body(line, low, mark)
     _boxes(raw, bares, out, own)
     _menus(raw, bares, out)
-    if cut and n and out[-1] < MENU and out[-1] != BLANK:
+    if cut and n and raw[-1].strip():
         out[-1] = _cut(bares, out)
     return out
 
@@ -313,19 +313,25 @@ def _menus(raw: list[str], bares: list[tuple[str, str]], out: list[int]) -> None
                 out[i] = MENU
 
 
+_office = re.compile(r"[a-z' ]+ county o(?:f(?:f(?:i(?:c(?:e(?:,.*)?)?)?)?)?)?")
+
+
 def _cut(bares: list[tuple[str, str]], out: list[int]) -> int:
+    """The kind of an incomplete last line, by what it may become and what stands before it."""
     low, mark = bares[-1]
-    if not low:
-        return out[-1]
     before = next((k for k in reversed(out[:-1]) if k != BLANK), None)
+    if not low or out[-1] >= MENU and (out[-1] != MENU or before is None or before >= MENU or len(low.split()) > 1):
+        return out[-1]
     if before == MENU and (any(x.startswith(low) for x in LABELS) or re.fullmatch(rf"{_VERB}(?: .{{0,24}})?", low)):
         return MENU
-    if before in (BOX, BOX_ITEM) and mark and mark == bares[-2][1] or before == BOX and mark:
+    if before == BOX or before == BOX_ITEM and out[-2] == BOX_ITEM and (mark == bares[-2][1] != "" or not mark and out[-3:-2] == [BOX]):
         return BOX_ITEM
+    if before is not None and before >= PROMPT and (len(low) < 5 or _office.fullmatch(low)) or _office.fullmatch(low) and "county off" in low:
+        return OFFICE
     for s in STARTS:
         if len(low) >= 5 and (s.startswith(low) or low.startswith(s)):
             return PROMPT
     parts = [p for p in _crumb.split(low) if p]
     if len(parts) >= 3 and sum(p in LABELS for p in parts[:-1]) >= 2:
         return MENU
-    return out[-1]
+    return LABEL if out[-1] == MENU else out[-1]
