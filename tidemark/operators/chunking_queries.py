@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import chunking as C
+from tidemark.plans.materialize import spread
 from tidemark.sources.tables import table
 
 
@@ -22,19 +23,19 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.semantic(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    rows = C.semantic(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text").drop("text")
     out = C.numbered(rows, "pieces", F.array(F.lit("documents"), F.col("doc_id").cast("string")))
     return out.select("doc_id", "chunk_index", "chunk_total", "chunk_id", "word_count", "n_chars")
 
 
 def semantic_chunks_english(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.semantic(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    rows = C.semantic(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text").drop("text")
     out = C.numbered(rows, "pieces", F.array(F.lit("documents"), F.col("doc_id").cast("string")), english_only=True)
     return out.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("word_count").alias("words"))
 
 
 def simple_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.paragraphs(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    rows = C.paragraphs(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text").drop("text")
     return C.numbered(rows, "pieces", F.array(F.lit("documents")), least=0).select("doc_id", "chunk_index", "chunk_total", "word_count", "n_chars", F.md5("chunk_text").alias("digest"))
 
 
@@ -70,7 +71,7 @@ def context_header(spark: SparkSession, d: str) -> DataFrame:
 
 def language_flags(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").filter(t.isNotNull()).select("doc_id", F.round(T.foreign_share(t), 6).alias("foreign_share"), T.is_spanish(t).alias("spanish"), T.is_foreign(t).alias("no_english"))
+    return spread(table(spark, d, "documents").filter(t.isNotNull()).select("doc_id", "text"), "doc_id").select("doc_id", F.round(T.foreign_share(t), 6).alias("foreign_share"), T.is_spanish(t).alias("spanish"), T.is_foreign(t).alias("no_english"))
 
 
 def sheet_guardrail(spark: SparkSession, d: str) -> DataFrame:

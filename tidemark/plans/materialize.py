@@ -64,3 +64,12 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     """
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= limit else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to as many partitions as there are cores, if its files give fewer: for work that costs much more per row than moving it.
+
+    Tables of many files or row groups are left as they are, so that large ones are never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
