@@ -5,72 +5,86 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import conduct, mixing, near_duplicates, page_content, quality, repeated_lines, residue, scanned, tokens
+from tidemark.plans.materialize import spread
 from tidemark.sources.tables import table
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("chunk_id", "source_url", "title", "page_classification", "text")
+    return spread(table(spark, sf_dir, "chunks").select(*columns), "chunk_id")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("id", "content_type", "crawl_status", "extracted_snippet", "title"), "id")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines.find_repeated_lines(table(spark, sf_dir, "chunks"))
+    return repeated_lines.find_repeated_lines(_chunks(spark, sf_dir))
 
 
 def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines.without_repeated_lines(table(spark, sf_dir, "chunks"))
+    return repeated_lines.without_repeated_lines(_chunks(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "chunks"))
+    pairs = near_duplicates.near_duplicate_pairs(_chunks(spark, sf_dir))
     return pairs.withColumnsRenamed({"a": "chunk_a", "b": "chunk_b"})
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.find_no_prose(table(spark, sf_dir, "chunks"))
+    return quality.find_no_prose(_chunks(spark, sf_dir))
 
 
 def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.statistics(table(spark, sf_dir, "chunks"), title="title", kind="page_classification")
+    return quality.statistics(_chunks(spark, sf_dir), title="title", kind="page_classification")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_content.find_boilerplate(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages"))
+    return page_content.find_boilerplate(_chunks(spark, sf_dir), _pages(spark, sf_dir))
 
 
 def p4_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_content.main_content(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "pages"))
+    return page_content.main_content(_chunks(spark, sf_dir), _pages(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned.find_defects(table(spark, sf_dir, "chunks"))
+    return scanned.find_defects(_chunks(spark, sf_dir))
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned.repair(table(spark, sf_dir, "chunks"))
+    return scanned.repair(_chunks(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.find_residue(table(spark, sf_dir, "chunks"))
+    return residue.find_residue(_chunks(spark, sf_dir))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_table(table(spark, sf_dir, "documents"))
+    return tokens.encode_table(_documents(spark, sf_dir))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+    return mixing.mix(_documents(spark, sf_dir), table(spark, sf_dir, "source_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+    return mixing.mix(_documents(spark, sf_dir), table(spark, sf_dir, "source_targets"))[1]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conduct.find_abuse(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+    return conduct.find_abuse(_documents(spark, sf_dir), table(spark, sf_dir, "review_labels"))
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conduct.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+    return conduct.score(_documents(spark, sf_dir), table(spark, sf_dir, "review_labels"))
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conduct.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+    return conduct.rates(_documents(spark, sf_dir), table(spark, sf_dir, "review_labels"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_content": p4_content, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
