@@ -57,20 +57,41 @@ def limit_decisions(rows: DataFrame, key: str, at: str, order: str, limit: int =
     return times.repartition(key).sortWithinPartitions(key, "_us", order).mapInArrow(run, f"`{order}` {kinds[order]}, `{key}` {kinds[key]}, accepted boolean")
 
 
-def sliding_rate(rows: DataFrame, key: str | None, at: str, seconds: int = WINDOW) -> DataFrame:
-    """rows with `rate`, the requests of the key within the seconds up to and including each."""
-    us = F.unix_micros(F.col(at).cast("timestamp"))
-    frame = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(us).rangeBetween(-(seconds * 1_000_000), 0)
-    return rows.withColumn("rate", F.count("*").over(frame))
+#: Length of the stretches of time into which a key's requests are cut, so that a key with very many is spread over tasks.
+STRETCH = 24 * 3600
+
+
+def sliding_rate(rows: DataFrame, key: str, at: str, seconds: int = WINDOW) -> DataFrame:
+    """rows with `rate`, the requests of the key within the seconds up to and including each. Rows of a null key count together.
+
+    Each stretch of a key's time is a partition of its own, which also has the requests of the last seconds of the stretch before.
+    """
+    span, back = max(STRETCH, seconds) * 1_000_000, seconds * 1_000_000
+    timed = rows.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+    mine, last = F.floor(F.col("_us") / span), F.floor((F.col("_us") + back) / span)
+    cut = timed.withColumn("_mine", mine).withColumn("_part", F.explode(F.when(F.col("_us").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence("_mine", last))))
+    frame = Window.partitionBy(key, "_part").orderBy("_us").rangeBetween(-back, 0)
+    counted = cut.withColumn("rate", F.count("*").over(frame))
+    return counted.filter(F.col("_part").eqNullSafe(F.col("_mine"))).drop("_us", "_mine", "_part")
 
 
 def sessions(rows: DataFrame, key: str, at: str, silence: int = SILENCE) -> DataFrame:
-    """(key, session, started, ended, requests): a session is over after more than `silence` seconds without a request."""
-    us = F.unix_micros(F.col(at).cast("timestamp"))
-    by = Window.partitionBy(key).orderBy(us)
-    marked = rows.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("_us", us).withColumn("_new", F.coalesce((F.col("_us") - F.lag("_us").over(by)) > silence * 1_000_000, F.lit(True)).cast("int"))
-    numbered = marked.withColumn("session", F.sum("_new").over(by.rangeBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "session").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("requests"))
+    """(key, session, started, ended, requests): a session is over after more than `silence` seconds without a request.
+
+    Gaps are found within stretches of a key's time; where a stretch goes on from the one before follows from a table with one row per
+    key and stretch. Rows without a key or time are left out.
+    """
+    there = rows.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
+    there = there.withColumn("_part", F.floor(F.col("_us") / (STRETCH * 1_000_000)))
+    in_order = Window.partitionBy("_key").orderBy("_part")
+    ends = there.groupBy("_key", "_part").agg(F.max("_us").alias("_last")).withColumn("_before", F.lag("_last").over(in_order)).drop("_last")
+    within = Window.partitionBy("_key", "_part").orderBy("_us")
+    gap = F.col("_us") - F.coalesce(F.lag("_us").over(within), F.col("_before"))
+    marked = there.join(ends, ["_key", "_part"]).withColumn("_new", F.coalesce(gap > silence * 1_000_000, F.lit(True)).cast("int"))
+    starts = marked.groupBy("_key", "_part").agg(F.sum("_new").alias("_n"))
+    base = starts.withColumn("_base", F.coalesce(F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    counted = marked.withColumn("_k", F.sum("_new").over(within.rangeBetween(Window.unboundedPreceding, 0))).join(base, ["_key", "_part"])
+    return counted.groupBy(F.col("_key").alias(key), (F.col("_base") + F.col("_k")).alias("session")).agg(F.min("_at").alias("started"), F.max("_at").alias("ended"), F.count("*").alias("requests"))
 
 
 def heartbeat(rows: DataFrame, at: str, kind: str, every: str = "5 minutes") -> DataFrame:
