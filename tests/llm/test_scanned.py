@@ -16,6 +16,16 @@ def test_defects():
     assert sorted(got) == [(0, "furniture"), (1, "furniture"), (2, "misread"), (2, "split"), (3, "furniture"), (4, "misread"), (7, "misread")]
 
 
+def test_counts_are_weighed_by_their_ratio():
+    counts = WORDS | {"county": 49_838, "coiinty": 19, "training": 20_842, "fraining": 8, "ballot": 34_701, "ballof": 7, "house": 6000, "horse": 5900}
+    text = "The coiinty office was set aside with\nthe fraining form and the ballof in\nthe house and the horse"
+    for times in (1, 100, 1000):
+        decoder = scanned.Decoder({w: times * n for w, n in counts.items()})
+        assert scanned.defects(text, None, decoder) == [(0, "misread"), (1, "misread")], times
+        out = scanned.repaired(text, None, decoder).split()
+        assert {"county", "training", "ballot", "house", "horse"} <= set(out) and not {"coiinty", "fraining", "ballof"} & set(out), times
+
+
 def test_repair_gives_paragraphs():
     out = scanned.repaired(TEXT, None, scanned.Decoder(WORDS | {"board": 500}))
     assert "registration form." in out and "b0ard" not in out and "Page 12" not in out and len(out.split("\n\n")) == 2

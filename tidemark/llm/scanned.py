@@ -168,13 +168,12 @@ class Decoder:
         """The printed form of a token of the text, if it has misrecognised characters."""
         core = _core.sub("", token.rstrip("!"))
         low = core.lower()
-        if low in self.lexicon and self.lexicon[low] >= 400 or not _letters.search(low):
+        if not _letters.search(low):
             return None
         for part in low.split("-") if "-" in low else (low,):
             part = part[:-2] if part.endswith(("'s", "’s")) else part
-            if not part or not _letters.search(part) or (n := self.lexicon.get(part, 0)) >= 400:
-                continue
-            if (printed := self.undone(part)) is not None and (n == 0 or self.lexicon[printed] >= RATIO * n) and (len(part) > 2 or self.lexicon[printed] * SHORT >= self.total):
+            # undone() has weighed the counts against each other; a bound on the count alone would depend on the corpus' size
+            if part and _letters.search(part) and (printed := self.undone(part)) is not None and (len(part) > 2 or self.lexicon[printed] * SHORT >= self.total):
                 return printed
         return None
 
