@@ -1,3 +1,5 @@
+from itertools import combinations
+
 from tidemark.llm import outline, page_content, quality, residue
 
 PAGE = """Skip to Content
@@ -89,6 +91,20 @@ def test_labels_go_along_near_copies(spark):
     assert bool(near) == (distance <= residue.DISTANCE and residue.similar(rows[0][0], rows[1][0]))
 
 
+def _pairs(spark, bodies):
+    rows = [(b, residue.simhash(b.split()), False) for b in bodies]
+    return {tuple(sorted(r)) for r in residue.near_bodies(spark.createDataFrame(rows, "body string, hash long, trusted boolean")).collect()}
+
+
+def test_all_bodies_with_a_common_run_are_compared(spark, monkeypatch):
+    base = [f"w{k}" for k in range(60)]
+    bodies = [" ".join(base[:59] + [f"x{n}"]) for n in range(40)]
+    want = {tuple(sorted(p)) for p in combinations(bodies, 2)}
+    assert _pairs(spark, bodies) == want
+    monkeypatch.setattr(residue, "PART", 7, raising=False)
+    assert _pairs(spark, bodies) == want
+
+
 def test_no_prose_leaves_out_residue(spark):
     rows = [("a", "- one place\n- two places\n- three places"), ("b", "- one {{place}}\n- two\n- three"), ("c", "This is a sentence. And this is another one.")]
     df = spark.createDataFrame([(*r, None, "prose") for r in rows], "chunk_id string, text string, title string, page_classification string")

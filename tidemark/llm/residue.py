@@ -3,11 +3,10 @@
 1. Each text is read once: unfilled template fields and leftovers of failed substitutions label it at once; of the others, the body
    of a short text (its lines without navigation and notices) becomes a masked string, and is labelled, as a trusted seed, where
    each of its sentences is an error, a demand for scripts, a login or waiting, or filler.
-2. Bodies are put into SimHash tables: the 64 bits are cut into BLOCKS blocks, and each choice of KEY blocks keys one table, so that
-   two bodies at most BLOCKS - KEY bits apart meet in at least one. Copies are one body. Within a bucket each body is compared
-   with the bucket's least body, its least trusted body and its neighbour in order, never with all.
-3. Pairs are verified by Hamming distance and by similarity of their runs of words, and trusted labels go along the connected
-   components of what remains.
+2. Copies are one body. Each body is keyed by its rarest runs of words, as many as it takes for two bodies that reach SIMILARITY to
+   have a common one, and all bodies with a common key are compared, in cells of bounded size. SimHash tables don't serve here: in
+   bodies of so few words one other word turns more bits than any tables can allow for.
+3. Pairs are verified by similarity of their runs of words, and trusted labels go along the connected components of what remains.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import ahocorasick
 import numpy as np
@@ -29,9 +27,13 @@ from tidemark.llm import outline
 from tidemark.operators.components import components
 from tidemark.plans.materialize import materialize, small
 
-BLOCKS, KEY, DISTANCE = 6, 3, 3
+#: Bits within which SimHashes were once compared; no pair is left out by it.
+DISTANCE = 3
 #: Words per run and least similarity of a verified pair.
 RUN, SIMILARITY = 5, 0.8
+SIMILARITY_TENTHS = round(10 * SIMILARITY)
+#: Bodies with a common run that are compared at once, about.
+PART = 500
 #: A body of more words is no mere notice, unless it is filler.
 BODY_WORDS = 60
 #: Texts of more words than this, navigation included, are read for fields and filler only.
@@ -200,22 +202,42 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in good], pa.string()), pa.array([x[1] for x in good], pa.string())], ["a", "b"])
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(body) -> (h, runs): a body's hash and the hashes of its runs. Bodies of fewer words than a run are near no other."""
+    for batch in batches:
+        h, runs = [], []
+        for text in batch.column(0).to_pylist():
+            w = text.split()
+            if len(w) >= RUN:
+                h.append(xxhash.xxh64_intdigest(text) - 2**63)
+                runs.append(list({xxhash.xxh64_intdigest(" ".join(w[i : i + RUN])) - 2**63 for i in range(len(w) - RUN + 1)}))
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], ["h", "runs"])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(t) - 2**63 for t in batch.column(0).to_pylist()], pa.int64()), batch.column(0)], ["h", "body"])
+
+
 def near_bodies(bodies: DataFrame) -> DataFrame:
-    """(a, b): bodies near each other, by partitioned SimHash tables and verification. bodies: (body, hash, trusted), body unique."""
-    cuts = [(64 * k // BLOCKS, 64 * (k + 1) // BLOCKS) for k in range(BLOCKS)]
-    block = [F.shiftrightunsigned("hash", a).bitwiseAND((1 << (b - a)) - 1) for a, b in cuts]
-    tables = F.array(*[F.struct(F.lit(n).alias("t"), F.xxhash64(F.lit(n), *[block[k] for k in chosen]).alias("key")) for n, chosen in enumerate(combinations(range(BLOCKS), KEY))])
-    keyed = bodies.withColumn("slot", F.explode(tables)).select("body", "hash", "trusted", "slot.key")
-    member = F.struct("body", "hash").alias("m")
-    first = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(member).alias("first"), F.min(F.when(F.col("trusted"), member)).alias("seed")).filter("n > 1")
-    met = keyed.join(first, "key")
-    # the neighbour in order: within a bucket of many rows the window runs over ranges of hashes, so that it stays small
-    order = Window.partitionBy("key", F.shiftright("hash", 56)).orderBy("hash", "body")
-    met = met.withColumn("next", F.lead(F.struct("body", "hash")).over(order))
-    pairs = met.select("body", "hash", F.explode(F.array("first", "seed", "next")).alias("o")).filter(F.col("o").isNotNull())
-    near = F.bit_count(F.col("hash").bitwiseXOR(F.col("o.hash"))) <= DISTANCE
-    pairs = pairs.filter(near & (F.col("body") != F.col("o.body"))).select(F.least("body", "o.body").alias("a"), F.greatest("body", "o.body").alias("b")).distinct()
-    return pairs.mapInArrow(_verified, "a string, b string")
+    """(a, b): all pairs of bodies that are similar(), by common runs and verification. bodies: (body, ...), body unique."""
+    each = materialize(bodies.select("body").mapInArrow(_keys, "h bigint, runs array<bigint>").select("h", F.size("runs").alias("size"), F.explode("runs").alias("run")), "runs")
+    counts = each.groupBy("run").agg(F.count("*").alias("n"))
+    # in any one order, here from the rarest run on, two sets that reach SIMILARITY meet in the first size - least + 1 of each
+    least = F.ceil(F.col("size") * SIMILARITY_TENTHS / 10).cast("int")
+    prefix = each.join(counts, "run").withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("n", "run")))
+    prefix = materialize(prefix.filter((F.col("place") <= F.col("size") - least + 1) & (F.col("n") > 1)).select("run", "h", "size"), "prefixes")
+    # a run's bodies are dealt to parts of about PART, and each pair of parts is a cell of its own
+    parts = prefix.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    dealt = prefix.join(parts, "run").withColumn("part", F.pmod("h", "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.select("run", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "h", "size", "part")
+    x, y = (cells.withColumnsRenamed({c: f"{c}_{side}" for c in ("h", "size", "part")}) for side in "xy")
+    once = (F.col("part_x") < F.col("part_y")) | (F.col("i") == F.col("j")) & (F.col("h_x") < F.col("h_y"))
+    fit = F.least("size_x", "size_y") * 10 >= F.greatest("size_x", "size_y") * SIMILARITY_TENTHS
+    met = x.join(y, ["run", "i", "j"]).filter(once & fit).select(F.least("h_x", "h_y").alias("h_x"), F.greatest("h_x", "h_y").alias("h_y")).distinct()
+    named = bodies.select("body").mapInArrow(_named, "h bigint, body string")
+    pairs = met.join(named.withColumnsRenamed({"h": "h_x", "body": "x"}), "h_x").join(named.withColumnsRenamed({"h": "h_y", "body": "y"}), "h_y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).mapInArrow(_verified, "a string, b string")
 
 
 def find_residue(chunks: DataFrame) -> DataFrame:
