@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 from tidemark.llm import outline, page_content, quality, residue
@@ -105,6 +106,21 @@ def test_all_bodies_with_a_common_run_are_compared(spark, monkeypatch):
     assert _pairs(spark, bodies) == want
 
 
+def test_near_bodies_are_those_of_brute_force(spark):
+    draw = random.Random(5)
+    bodies = {"one two three four", "one two three four five", "one two three four five six"}
+    for size in (9, 20, 30, 45, 60):
+        for _ in range(4):
+            base = [draw.choice("abcdefghijklmnopqrstuvwxyz") + str(draw.randrange(30)) for _ in range(size)]
+            for change in range(6):
+                words = list(base)
+                for _ in range(change % 3):
+                    words[draw.randrange(size)] = f"z{draw.randrange(99)}"
+                bodies.add(" ".join(words[: size - change // 3]))
+    want = {tuple(sorted(p)) for p in combinations(sorted(bodies), 2) if residue.similar(*p)}
+    assert len(want) > 40 and _pairs(spark, sorted(bodies)) == want
+
+
 def test_no_prose_leaves_out_residue(spark):
     rows = [("a", "- one place\n- two places\n- three places"), ("b", "- one {{place}}\n- two\n- three"), ("c", "This is a sentence. And this is another one.")]
     df = spark.createDataFrame([(*r, None, "prose") for r in rows], "chunk_id string, text string, title string, page_classification string")
