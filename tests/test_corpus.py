@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import corpus as K
+from tidemark.operators import corpus_queries
 from tidemark.operators.components import components
 from tidemark.operators.embedding import Refused, embed_batch, embed_table
 
@@ -79,3 +80,9 @@ def test_embedding_isolates_refused(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "id int, t string")
     out = embed_table(df, "id", "t", lambda ts: [[float(len(t))] for t in ts], size=1)
     assert sorted((r.id, r.embedding, r.failed) for r in out.collect()) == [(1, [2.0], False), (2, None, True)]
+
+
+def test_id_parity_takes_all_documents(spark, tmp_path):
+    for name, ids in (("review_labels", (1, 600, 700, None)), ("documents", (1, 600, 800))):
+        spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert rows(corpus_queries.id_parity(spark, str(tmp_path))) == [(700, "missing"), (800, "orphan")]

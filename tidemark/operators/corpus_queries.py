@@ -148,7 +148,7 @@ def coverage_gap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def id_parity(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.parity(table(spark, d, "review_labels"), table(spark, d, "documents").filter("doc_id < 500"), "doc_id")
+    return corpus.parity(table(spark, d, "review_labels"), table(spark, d, "documents"), "doc_id")
 
 
 def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
