@@ -1,7 +1,7 @@
 import io
 import zipfile
 
-from tidemark.sources import files, html
+from tidemark.sources import files, html, html_queries
 
 FAQ = """<html><head><title> Help  page </title></head><body><nav><a href='/home'>Home</a></nav><main>
 <dl><dt>How do I vote?</dt><dd>Go to the <b>hall</b>.</dd><dd>Bring a card.</dd><dt>Where is it?</dt><dd>On Main Street.</dd><dt>Notes</dt><dd>None.</dd></dl>
@@ -108,3 +108,9 @@ def test_json_lines(spark, tmp_path):
     files.write_json_lines(rows, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
     assert {r.path: r.url for r in files.url_map(spark, '{"_c": "x", "p/q": "u"}').collect()} == {"p/q": "u"} and files.url_map(spark, "broken").count() == 0
+
+
+def test_csv_rows_gives_every_supplier(spark, tmp_path):
+    spark.createDataFrame([(k, f"Supplier {k}", k % 2) for k in range(1, 901)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = [tuple(r) for r in html_queries.csv_rows(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((f"n{k % 2}.csv", "ok", f"key: {k} | name: Supplier {k}") for k in range(1, 901))

@@ -47,11 +47,13 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers of each nation as a CSV file's bytes, read back as rendered rows."""
+    """Suppliers of each nation as the bytes of CSV files, each of a range of keys and with its header within MOST_ROWS, read back as rendered rows."""
     line = F.concat_ws(",", F.col("s_suppkey").cast("string"), F.concat(F.lit('"'), "s_name", F.lit('"')))
     content = F.encode(F.concat(F.lit("key,name\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")), "UTF-8")
-    rows = table(spark, d, "supplier").groupBy("s_nationkey").agg(content.alias("content")).select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".csv")).alias("path"), "content")
-    found = files.read_files(rows).select("path", "status", F.explode("pieces").alias("p"))
+    part = F.floor(F.col("s_suppkey") / (files.MOST_ROWS - 1))
+    rows = table(spark, d, "supplier").groupBy("s_nationkey", part.alias("part")).agg(content.alias("content"))
+    rows = rows.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".csv?part="), F.col("part").cast("string")).alias("path"), "content")
+    found = files.read_files(rows).select(F.split_part("path", F.lit("?"), F.lit(1)).alias("path"), "status", F.explode("pieces").alias("p"))
     return found.select("path", "status", F.explode(F.slice(F.split("p.text", "\n"), 2, 10_000)).alias("line"))
 
 
