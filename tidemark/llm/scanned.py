@@ -1,10 +1,9 @@
 """Repair of text from scanned pages.
 
-A lexicon (words with counts over the whole corpus, at most LEXICON of them) is counted first. Each chunk is then read as one
-stream of characters without its page furniture, and decoded: arcs of a lattice over the stream are known words, words with
-misrecognised characters (a confusion undone), words broken at a line's end with a hyphen or without, words run together, and
-unknown strings; the cheapest path is the text. Paragraph boundaries between lines are chosen by dynamic programming over
-line lengths, ends of sentences and blank lines.
+A lexicon (words with counts over the whole corpus, at most LEXICON of them) is counted first. Each chunk is then read without its
+page furniture, token by token: words with misrecognised characters (a confusion undone) and words broken at a line's end with a
+hyphen are looked up. Words broken without one, run together or with spaces within are not found. Paragraph boundaries between
+lines are chosen by dynamic programming over line lengths, ends of sentences and blank lines.
 """
 
 from __future__ import annotations
