@@ -89,9 +89,25 @@ def personal_data(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(R.personal_data(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+#: Questions as users ask them, and whether they speak of links and ask for them.
+QUESTIONS = [
+    ("Can you send me the links?", True, True), ("could you please share your sources with us", True, True), ("What's the URL?", True, True), ("what are the sources", True, True), ("Sources, please", True, True),
+    ("the links please", True, True), ("Would you resend it? And the citations", True, True), ("thanks, I don't need the links", True, False), ("Can you answer without giving sources?", True, False),
+    ("no links please", True, False), ("what did you mean by that reference?", True, False), ("Could you not send any urls", True, False), ("Can you tell me where to vote?", False, False), ("When is the office open?", False, False),
+    ("I like linking arms. Please stay", False, False),
+]
+
+
 def link_intent(spark: SparkSession, d: str) -> DataFrame:
-    asked = F.coalesce("question", "title", F.lit(""))
-    return table(spark, d, "chunks").select("chunk_id", R.wants_links(asked).alias("wants")).distinct().groupBy("wants").agg(F.count("*").alias("n"))
+    """Documents by a question dealt to each, and what is understood of it."""
+    asked = F.element_at(F.array(*[F.lit(q) for q, _, _ in QUESTIONS]), (F.col("doc_id") % len(QUESTIONS) + 1).cast("int"))
+    rows = table(spark, d, "documents").select(asked.alias("question"))
+    return rows.groupBy("question", R.wants_links(F.col("question")).alias("wants"), R.asks_for_links(F.col("question")).alias("asks")).agg(F.count("*").alias("n"))
+
+
+def link_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text speaks of links, sources or citations."""
+    return table(spark, d, "documents").select("doc_id", R.wants_links(F.col("text")).alias("wants"))
 
 
 def strip_source_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +119,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_penalty, vector_floor, retrieval_metrics, rate_limit_decisions, sliding_request_rate, sessions, heartbeat_5m, cumulative_totals, last_sources, history_trim, classifier_context, stage_timings,
-        personal_data, link_intent, strip_source_markers,
+        personal_data, link_intent, link_mentions, strip_source_markers,
     )
 }
 
@@ -144,6 +160,7 @@ SQL = {
         with s as (select user_id, event_type as t, round(sum(value), 2) as v from events where event_type in ('signup', 'view', 'click', 'purchase') group by 1, 2)
         select u.user_id, coalesce(string_agg(t || '=' || printf('%.2f', v), ' ' order by list_position(['signup', 'view', 'click', 'purchase'], t)), '') as line from (select distinct user_id from events) u left join s using (user_id) group by u.user_id""",
     "personal_data": "select case " + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p, _ in sorted(R.PERSONAL, key=lambda x: -x[2])) + " end as kind, count(*) as n from documents group by 1",
-    "link_intent": r"select wants, count(*) as n from (select distinct chunk_id, regexp_matches(coalesce(question, title, ''), '(?i)\b(link|links|url|urls|source|sources|cite|cited|citation|citations|reference|references|hyperlink|hyperlinks)\b') as wants from chunks) group by 1",
+    "link_intent": "with q(k, question, wants, asks) as (values " + ", ".join(f"({i}, '{q.replace(chr(39), chr(39) * 2)}', {w}, {a})" for i, (q, w, a) in enumerate(QUESTIONS)) + f") select question, wants, asks, count(*) as n from documents join q on k = doc_id % {len(QUESTIONS)} group by all",
+    "link_mentions": f"select doc_id, list_has_any(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), {R.MENTIONS}) as wants from documents",
     "strip_source_markers": "select distinct chunk_id, trim(regexp_replace(coalesce(title, 'x') || ' and more [text](url)', '[ \\t]{2,}', ' ', 'g')) as text from chunks",
 }
