@@ -60,9 +60,43 @@ def test_trees_and_calibration():
     assert (np.diff(values) >= 0).all() and (np.diff(steps) >= 0).all()
 
 
+PLACES = "Oldtown Newbury Westford Eastvale Midmarsh".split()
+BAD = ("You are a worthless moron of {}.", "We know where your kids sleep in {}.", "Foreigners belong in cages, says {}.", "Free porn clips from {}!!!")
+GOOD = ("The office in {} opens at nine.", "The complaint quotes the words 'you scum' of {}.", "I felt like an idiot in {}.", "Trash bins stand in {}.", "Thank you for the help in {}.")
+
+
+def judged(n, seed):
+    rng = np.random.default_rng(seed)
+    bad = rng.random(n) < 0.2
+    texts = [str(rng.choice(BAD if b else GOOD)).format(rng.choice(PLACES)) for b in bad]
+    return texts, bad
+
+
+def test_held_out_documents_are_told_by_the_trees():
+    texts, bad = judged(400, 2)
+    x, rng = np.array([conduct.features(t) for t in texts]), np.random.default_rng(3)
+    model = conduct.Model(x, np.where(rng.random(400) < 0.03, ~bad, bad).astype(float))
+    held, truth = judged(300, 4)
+    h = np.array([conduct.features(t) for t in held])
+    assert ((model.probability(h) >= 0.5) == truth).mean() > 0.98
+    # no rule stands beside the trees: without them every document has the same score
+    model.trees.trees = []
+    assert len(set(model.probability(h))) == 1
+
+
+def test_dense_features_without_lexicon_words():
+    f = dict(zip(conduct.FEATURES, conduct.features("YOU THERE!!! Do you see this? *** @@ ###")))
+    assert f["caps"] > 0.3 and f["marks"] > 0 and f["you_rate"] > 0 and f["signs"] > 0 and f["free_hits"] == 0
+
+
 def test_tables(spark):
-    docs = spark.createDataFrame([(1, "You are a moron.", "A B"), (2, "All is well.", None), (3, None, "a_b "), (4, "", "a_b")], "doc_id long, text string, source string")
-    labels = spark.createDataFrame([(1, 1), (1, None), (2, 0)], "doc_id long, abusive int")
-    assert [r.doc_id for r in conduct.find_abuse(docs, labels).collect()] == [1]
-    assert {r.source: (r.documents, r.flagged) for r in conduct.rates(docs, labels).collect()} == {"a_b": (3, 1), None: (1, 0)}
+    texts, bad = judged(200, 5)
+    rows = [(10 + i, t, "c_d") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(1, "You are a worthless moron of Oldtown.", "A B"), (2, "The office in Oldtown opens at nine.", None), (3, None, "a_b "), (4, "", "a_b"), *rows], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, None), *[(10 + i, int(b)) for i, b in enumerate(bad)]], "doc_id long, abusive int")
+    found = {r.doc_id for r in conduct.find_abuse(docs, labels).collect()}
+    assert found == {1} | {10 + i for i, b in enumerate(bad) if b}
+    got = {r.source: (r.documents, r.flagged) for r in conduct.rates(docs, labels).collect()}
+    assert got == {"a_b": (3, 1), None: (1, 0), "c_d": (200, int(bad.sum()))}
     assert conduct.find_abuse(docs.limit(0), labels.limit(0)).count() == 0
+    assert conduct.find_abuse(docs, labels.limit(0)).count() == 0

@@ -2,11 +2,12 @@
 
 1. A text is folded: letters that look alike, digits and signs inside words, drawn-out, starred, split and spaced-out letters become
    plain lower-case words.
-2. Sentences with a word of the lexicon give dense features: densities per kind of word, nearness to second-person words and names,
-   phrases of threat, degradation and sexual offers, capitals, exclamation marks, how much had to be unfolded, and marks of speech
-   that is only reported, forbidden, quoted or about oneself. A document has each feature's greatest value over its sentences, and sums.
-3. Gradient-boosted trees are fitted to the reviewers' judgements (at most LABELS labelled documents, by a seeded hash) and calibrated
-   by isotonic regression on scores from cross-fitting; every document is scored.
+2. Every document gets dense features: rates of capitals, punctuation, unfolded words and second-person words; and over its sentences
+   densities per kind of lexicon word, nearness of such words to second-person words and names, phrases of threat, degradation and
+   sexual offers, and marks of speech that is only reported, forbidden, quoted or about oneself.
+3. Gradient-boosted trees, which start from the share of documents judged abusive and nothing else, are fitted to the reviewers'
+   judgements (at most LABELS labelled documents, by a seeded hash) and calibrated by isotonic regression on scores from
+   cross-fitting; every document is scored. No rule beside the trees decides.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that a model is fitted to, at most.
 LABELS = 20_000
-TREES, DEPTH, RATE, LEAST_LEAF, BINS, FOLDS, SEED = 60, 3, 0.1, 8, 24, 5, 11
-#: Weight of the trees' own probabilities, in judgements, in each step of the calibration; and the ridge on leaves.
-OWN, RIDGE = 10.0, 4.0
+TREES, DEPTH, RATE, LEAST_LEAF, BINS, FOLDS, SEED = 80, 3, 0.1, 5, 32, 5, 11
+#: The ridge on leaves.
+RIDGE = 2.0
 THRESHOLD = 0.5
 
 # Words and phrases by kind, lower case.
@@ -36,7 +37,7 @@ idiota idiotas imbecil imbeciles basura estupido estupida tonto inutil payaso ce
 ADJECTIVES = "worthless pathetic drooling stinking disgusting stupid useless dirty ugly rotten brainless lying filthy miserable sick dumb fat lazy crooked braindead spineless incompetent absolute damn damned fucking bloody".split()
 SELF_STRONG = "moron imbecile halfwit jackass dumbass bastard bitch scumbag cunt whore slut asshole retard cretin".split()
 SECOND = frozenset("you your yours yourself u ur youre you're ye tu usted ustedes eres vosotros te".split())
-GROUPS = r"(?:foreigners?|immigrants?|migrants?|refugees|river folk|hill people|mountain people|women|men|girls|deaf voters|the deaf|blind voters|old folks(?: in wheelchairs)?|people in wheelchairs|the disabled|cripples|gays|jews|muslims|christians|blacks|whites|asians|gypsies|natives|poor people|the poor|the homeless|the unbaptized|unbelievers|those believers(?: from [a-z ]{3,40})?|believers|velmari|ostrans?|norvish(?: families)?|quellish(?: immigrants)?|their kind|these people|those people|[a-z]+(?:ish|ans|ari) (?:families|immigrants|people|voters)|[a-z]{4,} folk)"
+GROUPS = r"(?:foreigners?|immigrants?|migrants?|refugees|hill people|mountain people|women|men|girls|deaf voters|the deaf|blind voters|old folks(?: in wheelchairs)?|people in wheelchairs|the disabled|cripples|gays|jews|muslims|christians|blacks|whites|asians|gypsies|natives|poor people|the poor|the homeless|the unbaptized|unbelievers|those believers(?: from [a-z ]{3,40})?|believers|their kind|these people|those people|[a-z]+(?:ish|ans|ari) (?:families|immigrants|people|voters)|[a-z]{4,} folk)"
 THREATS = [
     r"\bhang(?:ed)? from\b|\byou (?:will )?hang\b|\bstring (?:you|them|him|her) up\b", r"\bput a bullet\b|\bbullet in\b|\bshoot (?:you|him|her|them|every)\b", r"\bget sick and die\b|\bdie slowly\b|\bhope you die\b|\bgo die\b|\bkill (?:you|yourself|him|her|them|every|your)\b", r"\bdrop dead\b",
     r"\bend in blood\b|\bblood (?:on|in) the streets\b", r"\bbreak (?:your|his|her|their) (?:legs|neck|arms|bones|teeth|face)\b|\bcome with (?:bats|guns|knives)\b", r"\bwhere (?:your|his|her|their) (?:kids?|children|family|mother|wife) (?:sleeps?|lives?|goes|go)\b|\bknow where you live\b", r"\bmake it hurt\b|\bwe will find (?:you|your)\b",
@@ -58,8 +59,8 @@ INSULTS = [
 ]
 #: Frames in which a speaker only reports, forbids, quotes or speaks of themselves or of something harmless.
 FRAMES = re.compile(
-    r"\bquotes? the words\b|\bthe words '|\bsaid (?:that )?(?:he|she|they) (?:would|will|wanted)\b|\ba caller said\b|\bthe log of\b|\bwas informed\b|\bkeeps the recording\b|\brules? (?:say|says|state|forbid)\b|\bno one may\b|\bmay not (?:call|insult|threaten)\b|\breviews such\b|\basked that\b|\bflyers? about\b|\bthe speaker asked\b|\bi felt like\b|\bi am such\b|\bi was such\b|\bi feel like\b"
-    r"|\bharassment training\b|\bthe complaint\b|\baccording to the (?:report|complaint|police)\b|\balleged(?:ly)?\b|\bis charged\b|\bprohibit|\bforbidden\b|\bban(?:s|ned)? (?:on|the word)\b|\bthe play\b|\ba scene\b|\bthe film\b|\bthe novel\b|\bsex of\b|\bbreast feeding\b|\bkept at\b|\bold barn\b|\btrash bins?\b|\btraining video\b|\brat traps?\b|\bkill switch\b|\bwrote from\b|\bwhat a crappy\b|\brotten shame\b|\btestified\b|\bpolice report\b|\bhotline\b|\bhow to report\b|\bsex education\b|\bpig farm\b|\bthe dog\b"
+    r"\bquotes? the words\b|\bthe words '|\bsaid (?:that )?(?:he|she|they) (?:would|will|wanted)\b|\ba caller said\b|\bthe log of\b|\bwas informed\b|\brules? (?:say|says|state|forbid)\b|\bno one may\b|\bmay not (?:call|insult|threaten)\b|\breviews such\b|\basked that\b|\bflyers? about\b|\bthe speaker asked\b|\bi felt like\b|\bi am such\b|\bi was such\b|\bi feel like\b"
+    r"|\bharassment training\b|\bthe complaint\b|\baccording to the (?:report|complaint|police)\b|\balleged(?:ly)?\b|\bis charged\b|\bprohibit|\bforbidden\b|\bban(?:s|ned)? (?:on|the word)\b|\bthe play\b|\ba scene\b|\bthe film\b|\bthe novel\b|\bsex of\b|\bbreast feeding\b|\btrash bins?\b|\btraining video\b|\brat traps?\b|\bkill switch\b|\btestified\b|\bpolice report\b|\bhotline\b|\bhow to report\b|\bsex education\b|\bpig farm\b"
 )
 
 _ZERO = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD, 0x180E])
@@ -155,14 +156,18 @@ class Lexicon:
 _TARGETS = frozenset("naked vermin porn orgy sex tits sexy horny baby disease inferior thieves cages camps scum trash human burn kill die blood bullet rifle".split())
 FEATURES = (
     "threat", "hate", "sexual", "insult", "noun", "adjective", "near", "named", "strong", "tricks", "shout", "caps", "framed_hits", "free_hits", "any_noun", "second", "kinds", "hit_density", "group", "self", "short",
+    "aimed", "quoted", "told", "marks", "you_rate", "signs", "loud", "paired",
 )
+#: Verbs and nouns with which a text reports what somebody else said or wrote.
+_told = re.compile(r"\b(?:said|says|asked|reported|reports|informed|quoted|wrote|recording|recorded|testified|claimed|alleged|according|log|minutes|complaint|statement)\b")
+_inside = re.compile(r"[\"“”‘«»]|(?<![a-z])'|'(?![a-z])").search
 _lexicon: list[Lexicon] = []
 _group = re.compile(rf"\b{GROUPS}\b")
 _named = re.compile(r"\b(?:[A-Z][a-z]+ [A-Z][a-z]+|the (?:woman|man|clerk|judge|registrar|lady|guy) at|every judge|that (?:judge|registrar|clerk)|board)\b")
 
 
 def features(text: str | None) -> list[float]:
-    """The FEATURES of a text; zeros for null and empty texts and for texts without a word of the lexicon."""
+    """The FEATURES of a text; zeros for null and empty texts."""
     out = dict.fromkeys(FEATURES, 0.0)
     if not text:
         return list(out.values())
@@ -170,10 +175,16 @@ def features(text: str | None) -> list[float]:
         _lexicon.append(Lexicon())
     lex = _lexicon[0]
     folded, tricks = lex.fold(text)
+    size = len(text)
+    out["tricks"] = min(tricks, 5) + min(1.0, tricks * 20 / size)
+    out["caps"] = sum(map(str.isupper, text)) / (sum(map(str.isalpha, text)) or 1)
+    out["marks"] = min(1.0, (text.count("!") + text.count("?")) * 20 / size)
+    out["signs"] = min(1.0, sum(map(text.count, "*#@$_~^")) * 20 / size)
+    out["you_rate"] = min(1.0, (folded.count("you") + folded.count(" u ")) * 20 / size)
     hits = []
     end_of = len(folded)
-    for end, (size, whole) in lex.find.iter(folded):
-        a = end - size + 1
+    for end, (length, whole) in lex.find.iter(folded):
+        a = end - length + 1
         if (a == 0 or not folded[a - 1].isalpha()) and (not whole or end + 1 == end_of or not folded[end + 1].isalpha()):
             hits.append(a)
     if not hits:
@@ -184,16 +195,14 @@ def features(text: str | None) -> list[float]:
         at = m.end()
     spans.append((at, len(folded)))
     ends = [e for _, e in spans]
-    chosen = sorted({bisect_left(ends, h) for h in hits})
-    kinds_seen: set[int] = set()
+    kinds_seen: set[str] = set()
     total = 0
-    for i in chosen:
+    for i in sorted({bisect_left(ends, h) for h in hits}):
         if i >= len(spans):
             continue
         a, b = spans[i]
         s = folded[a:b]
         after = folded[spans[i + 1][0] : spans[i + 1][1]] if i + 1 < len(spans) else ""
-        framed = bool(FRAMES.search(s)) or after[:60].startswith("on ") and "keeps the recording" in after or "keeps the recording" in after[:90]
         words = _words.findall(s)
         if not words:
             continue
@@ -206,49 +215,50 @@ def features(text: str | None) -> list[float]:
         if not strength and not adj:
             continue
         total += strength
+        told = bool(_told.search(s)) or bool(_told.search(after[:90]))
+        framed = bool(FRAMES.search(s))
         out["framed_hits" if framed else "free_hits"] += strength
         out["any_noun"] = max(out["any_noun"], float(len(place)))
+        if strength:
+            out["told"] += told
+            out["quoted"] += bool(_inside(s))
         if framed:
             continue
         for name, value in zip(("threat", "hate", "sexual", "insult"), found):
             out[name] = max(out[name], float(value))
             if value:
-                kinds_seen.add(len(name))
+                kinds_seen.add(name)
         out["noun"] = max(out["noun"], float(len(place)))
         out["adjective"] = max(out["adjective"], float(len(adj)))
         out["near"] = max(out["near"], near)
         out["second"] = max(out["second"], float(bool(second)) if strength else 0.0)
         out["strong"] = max(out["strong"], float(sum(words[k] in lex.strong for k in place)))
         out["group"] = max(out["group"], float(bool(_group.search(s))) * (1.0 if found[1] else 0.3))
-        out["self"] = max(out["self"], float(bool(re.search(r"\b(?:i|me|my|myself)\b", s))) if place else 0.0)
+        own = bool(re.search(r"\b(?:i|me|myself)\b", s))
+        out["self"] = max(out["self"], float(own) if place else 0.0)
         out["short"] = max(out["short"], 1.0 / (1 + len(words) / 10) if strength else 0.0)
         out["shout"] = max(out["shout"], min(3.0, s.count("!") + after[:1].count("!") + folded[b : b + 3].count("!")) if strength else 0.0)
-        if place:
-            out["named"] = max(out["named"], float(bool(_named.search(text)) and bool(re.search(r"\b(?:is an?|has the|what an?|hey|to the|that|such)\b", s))))
-    out["tricks"] = float(min(tricks, 5)) if total else 0.0
-    letters = sum(map(str.isalpha, text)) or 1
-    out["caps"] = sum(map(str.isupper, text)) / letters if total else 0.0
+        named = bool(place) and bool(_named.search(text)) and bool(re.search(r"\b(?:is an?|has the|what an?|hey|to the|that|such)\b", s))
+        out["named"] = max(out["named"], float(named))
+        # how much of the sentence's wording is turned on somebody: phrases by themselves, words by what they stand near
+        out["aimed"] = max(out["aimed"], sum(found) + len(place) * (near + 0.5 * bool(adj) + 0.5 * named) + 0.0)
+        out["paired"] = max(out["paired"], float(sum(k + 1 in place for k in adj)))
+        capitals = sum(w.isupper() and len(w) > 2 for w in text[a:b].split()) if len(text) == end_of else 0
+        out["loud"] = max(out["loud"], capitals / len(words))
     out["kinds"] = float(len(kinds_seen))
-    out["hit_density"] = min(1.0, 20.0 * total / (len(text) / 6 + 20))
+    out["hit_density"] = min(1.0, 20.0 * total / (size / 6 + 20))
     return list(out.values())
 
 
 class Trees:
     """Gradient-boosted regression trees for a yes-no target, on binned features."""
 
-    @staticmethod
-    def start(x: np.ndarray) -> np.ndarray:
-        """The score before the first tree: what the lexicon says by itself, so that few judgements are enough."""
-        hit = x[:, [FEATURES.index(n) for n in ("threat", "hate", "sexual", "insult")]].max(axis=1) > 0
-        aimed = x[:, [FEATURES.index(n) for n in ("near", "adjective", "named")]].max(axis=1) > 0.2
-        free = hit | (x[:, FEATURES.index("noun")] > 0) & aimed
-        return np.where(free, 2.5, np.where(x[:, FEATURES.index("free_hits")] > 0, 0.0, -4.0))
-
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         self.cuts = [np.unique(np.quantile(c[c != c.min()] if (c != c.min()).any() else c, np.linspace(0, 1, BINS))) for c in x.T]
         binned = self._bin(x)
         self.trees = []
-        score = self.start(x)
+        self.base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        score = np.full(len(y), self.base)
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-score))
             tree = self._grow(binned, y - p, p * (1 - p), np.arange(len(y)), DEPTH)
@@ -288,42 +298,45 @@ class Trees:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         b = self._bin(x)
-        out = self.start(x)
+        out = np.full(len(x), self.base)
         for t in self.trees:
             out += RATE * self._walk(t, b)
         return out
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps (score, probability), not falling, by pooling neighbours that violate the order; each step leans on the scores' own probability."""
+    """Points (score, probability), not falling, by pooling neighbours that violate the order; a pool stands at its mean score."""
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []
     for s, v in zip(score[order], y[order]):
-        blocks.append([v, 1.0, s, 1 / (1 + np.exp(-s))])
+        blocks.append([v, 1.0, s])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-            v2, n2, s2, own = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + v2, blocks[-1][1] + n2, s2, blocks[-1][3] + own]
-    p = np.maximum.accumulate([(b[0] + OWN * b[3] / b[1]) / (b[1] + OWN) for b in blocks])
-    return np.array([b[2] for b in blocks]), p
+            v2, n2, s2 = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + v2, blocks[-1][1] + n2, blocks[-1][2] + s2]
+    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
 class Model:
-    """Trees and their calibration. With too few labels of either kind, the lexicon alone decides."""
+    """Trees and their calibration. Without judgements of both kinds there is nothing to fit, and every probability is their share."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.trees = None
-        if len(y) < 40 or not 4 <= y.sum() <= len(y) - 4:
+        self.trees, self.share = None, float(y.mean()) if len(y) else 0.0
+        if not 0 < y.sum() < len(y):
             return
-        fold = np.random.default_rng(SEED).permutation(len(y)) % FOLDS
+        fold = np.empty(len(y), int)
+        for kind in (0, 1):  # each fold has its part of either kind
+            rows = np.flatnonzero(y == kind)
+            fold[np.random.default_rng(SEED + kind).permutation(rows)] = np.arange(len(rows)) % FOLDS
         out = np.empty(len(y))
         for k in range(FOLDS):
-            out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).score(x[fold == k])
+            if (fold == k).any():
+                out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).score(x[fold == k])
         self.steps = isotonic(out, y)
         self.trees = Trees().fit(x, y)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
-            return 1 / (1 + np.exp(-Trees.start(x)))
+            return np.full(len(x), self.share)
         at, p = self.steps
         return np.interp(self.trees.score(x), at, p)
 
