@@ -267,7 +267,7 @@ class Trees:
         return self
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(c, v, "left") for c, v in zip(self.cuts, x.T)], axis=1)
+        return np.stack([np.searchsorted(c, v, "right") for c, v in zip(self.cuts, x.T)], axis=1)
 
     def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int):
         G, H = g[rows].sum(), h[rows].sum()
