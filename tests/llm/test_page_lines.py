@@ -46,20 +46,37 @@ def test_boilerplate_table(spark):
     assert page_content.find_boilerplate(chunks.limit(0), pages.limit(0)).count() == 0
 
 
-def test_statistics_split_and_merged(spark):
+def merged(text, title, page, size, draw):
+    cut = [text[i : i + size] for i in range(0, len(text), size)] or [""]
+    parts = [quality.partial(t, i == 0, i == len(cut) - 1, title, page) for i, t in enumerate(cut)]
+    while len(parts) > 1:  # neighbours in any order of merging
+        i = draw.randrange(len(parts) - 1)
+        parts[i : i + 2] = [quality.join(parts[i], parts[i + 1])]
+    return quality.closed(parts[0])
+
+
+def test_statistics_split_and_merged():
     text = "The first line of the text ends.\n- Item one\nword " + "and more of the words in this line " * 30 + "\nLast, line; ends!\n\ntail"
-    whole = quality.closed(quality.partial(text, True, True, None, False))
-    for size in (3, 7, 50, 200):
-        cut = [text[i : i + size] for i in range(0, len(text), size)]
-        parts = [quality.partial(t, i == 0, i == len(cut) - 1, None, False) for i, t in enumerate(cut)]
-        while len(parts) > 1:
-            parts = [quality.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        n = quality.closed(parts[0])
-        assert n[1:-2] == whole[1:-2], size
+    draw = random.Random(3)
+    for body in (text, PAGE, "\n".join([PAGE, text] * 4), "no line end", "", "\n\n\n", "\n".join(f"- Place {k}" for k in range(60)), "See also\n" + "\n".join(f"- Recount of votes in Town {k}" for k in range(30)) + "\n" + PAGE):
+        for page in (False, True):
+            whole = quality.closed(quality.partial(body, True, True, "Some page", page))
+            for size in (3, 7, 50, 200, 1000):
+                assert merged(body, "Some page", page, size, draw) == whole, (body[:40], page, size)
     words = text.split()
+    whole = quality.closed(quality.partial(text, True, True, None, False))
     assert whole[quality.COUNTS.index("words")] == len(words) and whole[quality.COUNTS.index("word_chars")] == sum(map(len, words))
 
 
+def test_statistics_do_not_depend_on_the_segment(spark, monkeypatch):
+    """All columns of all texts of a test table, cut at a size at which most texts are cut."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/chunks.parquet")
+    want = sorted(map(tuple, quality.statistics(rows, title="title", kind="page_classification").collect()))
+    monkeypatch.setattr(quality, "SEGMENT", 300)
+    monkeypatch.setattr(quality, "WIDTH", 3)
+    assert sorted(map(tuple, quality.statistics(rows, title="title", kind="page_classification").collect())) == want
+
+
 def test_statistics_table(spark):
     huge = ("Every word of this sentence counts for the sum. " * 40 + "\n") * 500
     rows = [("a", "The cat sat on the mat."), ("a", "The cat sat on the mat."), ("n", None), ("e", ""), ("h", huge), ("l", "- one\n- two\n- three")]

@@ -57,10 +57,8 @@ FIRST = frozenset(
 )
 _free = re.compile(r"all rights reserved|equal opportunity employer|accepts no liability|legal advice|printed copies are uncontrolled|office, .*\||\| ?(?:tel|phone|fax|tty)\b| »$|^\d+ min\w* read").search
 _bars = re.compile(r"[|»›→/>]|::").search
-#: Entries that a box without list markers has at most; what follows is a heading.
+#: Entries that a box without list markers has at most; what follows is a heading of the page.
 BOX_PLAIN = 4
-#: A longer line announces nothing.
-CUE_LENGTH = 260
 
 
 #: What the cues start with, lower-cased; tells a cut line at the end of a shortened text.
@@ -120,14 +118,15 @@ def _full_cue(text: str) -> int:
 
 def cue(text: str) -> int:
     """The kind that a bare line announces, or 0."""
-    if len(text) > CUE_LENGTH:
-        return 0
     if text.partition(" ")[0] in FIRST or _free(text):
         return _full_cue(text)
     return 0
 
 
-_code = re.compile(r"\bfunction\s*\(|=>|\bvar \w+\s*=|\breturn [^;]{0,80};|^[.#@]?[\w-]+\s*\{[^}]*[:;][^}]*\}|</?\w+[^>]*>\s*</?\w+|&&|\)\s*\{")
+#: Code that no sentence holds, whatever words stand around it; and code or markup by shapes that a sentence may have too.
+_sure_code = re.compile(r"\bfunction\s*\w*\(|=>|\bvar \w+\s*=|&&|\)\s*\{")
+_code = re.compile(r"\breturn [^;]{0,80};|^[.#@]?[\w-]+\s*\{[^}]*[:;][^}]*\}|</?\w+[^>]*>\s*</?\w+")
+_code_sign = re.compile(r"[({=&]").search
 _garbled = re.compile("[\ufffd\u0080-\u00bf\u0160\u0161\u0152\u0153\u017d\u017e\u0192\u02c6\u02dc\u2020-\u2022\u2026\u2030\u20ac\u2122]")
 _plain = re.compile(r" (?:the|a|an|of|to|and|in|for|is|on|at|de|la|el|los|que|y|en) ").search
 _ascii_word = re.compile(r"[a-z]{3,}")
@@ -138,6 +137,8 @@ def is_junk(text: str) -> bool:
     """Unreadable remains: code and style rules, hardly any letters among symbols, words that no language has (encoded bytes, no vowels)."""
     if len(text) < 12:
         return False
+    if _code_sign(text) and _sure_code.search(text):
+        return True
     if _plain(text):
         return False
     if _code.search(text):
@@ -159,8 +160,6 @@ def is_junk(text: str) -> bool:
 
 def menu_bar(text: str) -> bool:
     """Several labels in one line, between bars or arrows."""
-    if len(text) > 600:
-        return False
     parts = [p.strip() for p in _crumb.split(text) if p.strip()]
     if len(parts) < 2:
         return False
@@ -170,7 +169,7 @@ def menu_bar(text: str) -> bool:
 
 def is_crumb(raw: str, text: str) -> bool:
     """A path of pages: starts at Home, parts between arrows, no sentence."""
-    if len(text) >= 200 or not text.startswith(("home", "start", "inicio", "you are here", "main")):
+    if not text.startswith(("home", "start", "inicio", "you are here", "main")):
         return False
     parts = [p.strip() for p in _crumb.split(raw.strip()) if p.strip()]
     return len(parts) >= 2 and parts[0].lower() in ("home", "start", "inicio", "you are here: home", "main")
@@ -178,7 +177,7 @@ def is_crumb(raw: str, text: str) -> bool:
 
 def is_title(raw: str, text: str) -> bool:
     """Could stand in a box of related pages."""
-    return 8 <= len(text) <= 140 and not raw.rstrip().endswith((".", "?", "!", ";")) and "\t" not in raw and "|" not in raw and bool(_title.fullmatch(text))
+    return len(text) >= 8 and not raw.rstrip().endswith((".", "?", "!", ";")) and "\t" not in raw and "|" not in raw and bool(_title.fullmatch(text))
 
 
 def kinds(text: str, title: str | None = None, cut: bool = False) -> list[int]:
@@ -187,7 +186,7 @@ def kinds(text: str, title: str | None = None, cut: bool = False) -> list[int]:
     n = len(raw)
     out = [BLANK] * n
     own = bare(title)[0] if title else None
-    bares = [bare(x) if len(x) <= 2000 else (x[:2000].lower(), "") for x in raw]
+    bares = [bare(x) for x in raw]
     for i, line in enumerate(raw):
         low, mark = bares[i]
         if not low:
@@ -238,14 +237,23 @@ def _body(line: str, low: str, mark: str) -> int:
     return LABEL
 
 
-def sentences(lines: list[str], kind: list[int]) -> tuple[int, int]:
+def clean_cuts(lines: list[str], kind: list[int]) -> list[int]:
+    """The places i between lines i - 1 and i where what stands before needs no more than line i - 1 to judge what follows, and nothing to be judged.
+
+    Line i - 1 is a sentence, row or junk, which ends boxes and menus, and none of the last three lines is an action that menus look
+    for around them. The first and last line may be open; cuts that would rest on them are left out.
+    """
+    action = [bool(_action.fullmatch(bare(x)[0])) for x in lines]
+    return [i for i in range(4, len(lines)) if kind[i - 1] in (PROSE, ROW, JUNK) and not any(action[i - 3 : i])]
+
+
+def sentences(lines: list[str], kind: list[int], before: int = BLANK) -> tuple[int, int]:
     """Words in sentences, and in list items, table rows and unreadable remains; headings and lines that are no content count as neither.
 
     A short line belongs to the sentences if it has words that only sentences have, or goes on from such a line (text wrapped to
-    a width); else it is an entry of a list.
+    a width); else it is an entry of a list. before: the kind of the line before the first.
     """
     prose = rest = 0
-    before = BLANK
     for line, k in zip(lines, kind):
         if k == BLANK:
             before = BLANK
@@ -282,7 +290,7 @@ def _boxes(raw: list[str], bares: list[tuple[str, str]], out: list[int], own: st
             i += 1
             continue
         j, mark = i + 1, None
-        while j < n and j - i <= (12 if mark else BOX_PLAIN) and out[j] not in (BLANK, PROSE, ROW, JUNK) and out[j] < MENU:
+        while j < n and (mark or j - i <= BOX_PLAIN) and out[j] not in (BLANK, PROSE, ROW, JUNK) and out[j] < MENU:
             low, m = bares[j]
             if mark is None:
                 mark = m

@@ -1,9 +1,11 @@
 """Statistics of each text, and whether it is prose.
 
 A text up to SEGMENT characters is one segment. A longer one is cut, wherever the cut falls, into segments that go to different
-tasks; each gives counts of its whole lines, and as boundary state its first and last line, which may go on in the neighbours.
-Two neighbouring partial results merge into one: the open end of the left and the open start of the right become one line, which
-is counted if it is now whole. The merge is associative; partial results of a text are merged in a tree of groups of WIDTH.
+tasks. What a line is depends on lines around it, so a segment counts only what lies between its first and last clean cut
+(outline.clean_cuts), and hands on the text before and after as boundary state, with the line that the rest is judged by. Two
+neighbouring partial results merge into one: the left's open end and the right's open start become whole lines in their context
+and are counted. The merge is associative, and partial results of a text are merged in a tree of groups of WIDTH; the counts are
+the same at any segment size.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ def _ends(line: str) -> bool:
     return line.endswith(_END)
 
 
-def counts(lines: list[str], kinds: list[int]) -> list[int]:
-    """The COUNTS of whole lines."""
+def counts(lines: list[str], kinds: list[int], before: int = outline.BLANK) -> list[int]:
+    """The COUNTS of whole lines; before: the kind of the line that stands before them."""
+    if not lines:
+        return [0] * len(COUNTS)
     text = "\n".join(lines)
     bare = [x for x in map(str.strip, lines) if x]
     words = text.lower().split()
@@ -43,52 +47,77 @@ def counts(lines: list[str], kinds: list[int]) -> list[int]:
     else:
         of = np.bincount(classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=5)
         word_chars = sum(map(len, text.split()))
-    prose, rest = outline.sentences(lines, kinds)
+    prose, rest = outline.sentences(lines, kinds, before)
     return [
         len(text) - max(0, len(lines) - 1), int(of[LETTER]), word_chars - int(of[LETTER]) - int(of[NUMBER]), len(bare), sum(map(_ends, bare)), len(words), word_chars,
         sum(map(COMMON.__contains__, words)), prose, rest,
     ]
 
 
+def _kinds(lines: list[str], title: str | None, page: bool) -> list[int]:
+    kinds = outline.kinds("\n".join(lines), title)
+    return kinds if page else [outline.LABEL if k >= outline.MENU else k for k in kinds]
+
+
 def partial(text: str, first: bool, last: bool, title: str | None, page: bool) -> dict:
-    """The partial result of a segment: counts of its whole lines, and the open lines at its start and end.
+    """The partial result of a segment that starts (first) or ends (last) the text or neither.
 
-    head is None unless something comes before the segment; a segment without a line end is all head, with whole=False.
+    head: the text up to the first clean cut, None if the segment is first; tail: the text from the line before the last clean cut,
+    None if it is last; n: the COUNTS between the two. Without a clean cut the segment is all head, with whole=False.
     """
     lines = text.split("\n")
-    kinds = outline.kinds(text, title)
-    if not page:
-        kinds = [outline.LABEL if k >= outline.MENU else k for k in kinds]
-    if len(lines) == 1 and not (first and last):
-        return {"head": text, "tail": "", "whole": False, "n": [0] * len(COUNTS)}
-    a, b = 0 if first else 1, len(lines) if last else len(lines) - 1
-    return {"head": "" if first else lines[0], "tail": "" if last else lines[-1], "whole": True, "n": counts(lines[a:b], kinds[a:b])}
+    kinds = _kinds(lines, title, page)
+    cuts = [] if first and last else outline.clean_cuts(lines, kinds)
+    state = {"title": title, "page": page, "first": first, "last": last}
+    if not (first and last) and not cuts:
+        return state | {"head": text, "tail": None, "whole": False, "n": [0] * len(COUNTS)}
+    a, b = 0 if first else cuts[0], len(lines) if last else cuts[-1]
+    n = counts(lines[a:b], kinds[a:b], kinds[a - 1] if a else outline.BLANK)
+    return state | {"head": None if first else "\n".join(lines[:a]) + "\n", "tail": None if last else "\n".join(lines[b - 1 :]), "whole": True, "n": n}
+
+
+def _ahead(tail: str, last: bool, title: str | None, page: bool) -> tuple[list[int], str | None]:
+    """The counts of a tail without its first line, which is context, up to its last clean cut, or its end if it is the text's; and what is left of it."""
+    lines = tail.split("\n")
+    kinds = _kinds(lines, title, page)
+    cuts = outline.clean_cuts(lines, kinds)
+    b = len(lines) if last else cuts[-1] if cuts else 1
+    return counts(lines[1:b], kinds[1:b], kinds[0]), None if last else "\n".join(lines[b - 1 :])
 
 
 def join(left: dict, right: dict) -> dict:
     """The partial result of two neighbours."""
+    title, page = left["title"], left["page"]
+    state = {"title": title, "page": page, "first": left["first"], "last": right["last"]}
     if not left["whole"] and not right["whole"]:
-        return {"head": left["head"] + right["head"], "tail": "", "whole": False, "n": [0] * len(COUNTS)}
+        return partial(left["head"] + right["head"], left["first"], right["last"], title, page)
     if not left["whole"]:
-        return right | {"head": left["head"] + right["head"]}
+        if not left["first"]:
+            return state | {"head": left["head"] + right["head"], "tail": right["tail"], "whole": True, "n": right["n"]}
+        lines = (left["head"] + right["head"])[:-1].split("\n")
+        n = counts(lines, _kinds(lines, title, page))
+        return state | {"head": None, "tail": right["tail"], "whole": True, "n": [x + y for x, y in zip(n, right["n"])]}
     if not right["whole"]:
-        return left | {"tail": left["tail"] + right["head"]}
-    middle = left["tail"] + right["head"]
-    more = counts([middle], outline.kinds(middle))
-    return {"head": left["head"], "tail": right["tail"], "whole": True, "n": [x + y + z for x, y, z in zip(left["n"], right["n"], more)]}
+        n, tail = _ahead(left["tail"] + right["head"], right["last"], title, page)
+        return state | {"head": left["head"], "tail": tail, "whole": True, "n": [x + y for x, y in zip(left["n"], n)]}
+    n, _ = _ahead((left["tail"] + right["head"])[:-1], True, title, page)
+    return state | {"head": left["head"], "tail": right["tail"], "whole": True, "n": [x + y + z for x, y, z in zip(left["n"], n, right["n"])]}
 
 
 def closed(p: dict) -> list[int]:
-    """The counts of a whole text from its merged result."""
-    ends = [p["head"], p["tail"]] if p["whole"] else [p["head"]]
-    n = list(p["n"])
-    for line in ends:
-        if line:
-            n = [x + y for x, y in zip(n, counts([line], outline.kinds(line)))]
-    return n
+    """The counts of a whole text from its merged result, which is first and last."""
+    if not (p["first"] and p["last"] and p["whole"]):
+        raise ValueError("parts of the text are missing")
+    return list(p["n"])
+
+
+_STATE = ("title", "page", "first", "last", "head", "tail", "whole")
+_PARTIAL = "title string, page boolean, first boolean, last boolean, head string, tail string, whole boolean, " + ", ".join(f"{c} bigint" for c in COUNTS)
 
 
-_PARTIAL = "head string, tail string, whole boolean, " + ", ".join(f"{c} bigint" for c in COUNTS)
+def _columns(found: list[dict]) -> list[pa.Array]:
+    kinds = {"title": pa.string(), "head": pa.string(), "tail": pa.string()}
+    return [pa.array([p[k] for p in found], kinds.get(k, pa.bool_())) for k in _STATE] + [pa.array([p["n"][k] for p in found], pa.int64()) for k in range(len(COUNTS))]
 
 
 def statistics(rows: DataFrame, key: str = "chunk_id", text: str = "text", title: str | None = None, kind: str | None = None) -> DataFrame:
@@ -114,22 +143,21 @@ def statistics(rows: DataFrame, key: str = "chunk_id", text: str = "text", title
         for batch in batches:
             found = [partial(t, i == 0, i == n - 1, ti, p) for t, ti, p, i, n in zip(*(batch.column(k).to_pylist() for k in range(1, 6)))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(4), batch.column(5), *(pa.array([p[k] for p in found]) for k in ("head", "tail", "whole")), *(pa.array([p["n"][k] for p in found], pa.int64()) for k in range(len(COUNTS)))],
-                ["id", "part", "parts", "head", "tail", "whole", *COUNTS],
+                [batch.column(0), batch.column(4), batch.column(5), *_columns(found)], ["id", "part", "parts", *_STATE, *COUNTS],
             )
 
     def merged(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
         whole = None
         for r in table.to_pylist():
-            p = {"head": r["head"], "tail": r["tail"], "whole": r["whole"], "n": [r[c] for c in COUNTS]}
+            p = {k: r[k] for k in _STATE} | {"n": [r[c] for c in COUNTS]}
             whole = p if whole is None else join(whole, p)
         one = table.slice(0, 1)
-        return pa.table({"id": one["id"], "part": pa.array([one["part"][0].as_py() // WIDTH], pa.int32()), "parts": one["parts"], "head": [whole["head"]], "tail": [whole["tail"]], "whole": [whole["whole"]], **{c: pa.array([whole["n"][k]], pa.int64()) for k, c in enumerate(COUNTS)}})
+        return pa.Table.from_arrays([one["id"], pa.array([one["part"][0].as_py() // WIDTH], pa.int32()), one["parts"], *_columns([whole])], ["id", "part", "parts", *_STATE, *COUNTS])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [closed({"head": r["head"], "tail": r["tail"], "whole": r["whole"], "n": [r[c] for c in COUNTS]}) for r in batch.to_pylist()]
+            found = [closed({k: r[k] for k in _STATE} | {"n": [r[c] for c in COUNTS]}) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([n[k] for n in found], pa.int64()) for k in range(len(COUNTS)))], ["id", *COUNTS])
 
     flat = f"id {id_type}, " + ", ".join(f"{c} bigint" for c in COUNTS)
