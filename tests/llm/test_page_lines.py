@@ -101,17 +101,34 @@ def test_residue_table(spark):
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
-def test_labels_go_along_near_copies(spark):
-    base = "the application needs a modern reader with several features that this one does not have so ask the help desk of your town hall or come again when the page was made for it"
-    rows = [(base, residue.simhash(base.split()), True)] + [(t := base.replace("several", "certain"), residue.simhash(t.split()), False)]
-    near = [tuple(sorted(r)) for r in residue.near_bodies(spark.createDataFrame(rows, "body string, hash long, trusted boolean")).collect()]
-    distance = bin((rows[0][1] ^ rows[1][1]) & (2**64 - 1)).count("1")
-    assert bool(near) == (distance <= residue.DISTANCE and residue.similar(rows[0][0], rows[1][0]))
+HELP = "the application needs a modern reader with several features that this one does not have so ask the help desk of your town hall or come again when the page was made for it"
+
+
+def test_labels_go_along_near_copies(spark, monkeypatch):
+    """A body that no pattern knows is found because it is near a trusted one, over a chain, and not without the components."""
+    seed = "Please enable javascript in your browser to view this content. Too many requests from your network. Your session has expired. Bad gateway, the upstream server gave no answer. You must log in to view this page. Please wait while the page is made ready."
+    more = " Quartz harbor melon tulip seven. Amber kettle walks uphill twice. Nine paper boats drift past. Old maps fold badly now.".split(". ")
+    chain = [seed + ". ".join(more[:k]) for k in range(5)]
+    rows = [(str(k), t, None, "prose") for k, t in enumerate(chain)] + [("far", HELP, None, "prose"), ("long", (HELP + ". ") * 300, None, "prose")]
+    assert residue.judge(chain[0], None, False)[1] and not any(residue.judge(t, None, False)[1] for t in chain[1:])
+    masked = [residue.judge(t, None, False)[2] for t in chain]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, title string, page_classification string")
+    assert not residue.similar(masked[0], masked[-1]) and all(map(residue.similar, masked, masked[1:]))
+    assert sorted(r.chunk_id for r in residue.find_residue(df).collect()) == ["0", "1", "2", "3", "4"]
+    monkeypatch.setattr(residue, "near_bodies", lambda bodies: spark.createDataFrame([], "a string, b string"))
+    assert [r.chunk_id for r in residue.find_residue(df).collect()] == ["0"]
+
+
+def test_long_texts_are_read_whole():
+    menu = "\n".join(f"• Voting\n• Home\n• Contact Us" for _ in range(400))
+    assert residue.judge(menu + "\nBad gateway: the upstream server gave no answer.", None, True)[1]
+    notice = "\n".join(["Service temporarily unavailable. Please try again in a few minutes."] * 60)
+    assert residue.judge(notice, None, False)[1] and not residue.judge(notice + "\nThe judge opened the office at nine.", None, False)[1]
 
 
 def _pairs(spark, bodies):
-    rows = [(b, residue.simhash(b.split()), False) for b in bodies]
-    return {tuple(sorted(r)) for r in residue.near_bodies(spark.createDataFrame(rows, "body string, hash long, trusted boolean")).collect()}
+    rows = [(b, False) for b in bodies]
+    return {tuple(sorted(r)) for r in residue.near_bodies(spark.createDataFrame(rows, "body string, trusted boolean")).collect()}
 
 
 def test_all_bodies_with_a_common_run_are_compared(spark, monkeypatch):

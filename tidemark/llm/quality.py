@@ -184,8 +184,29 @@ def statistics(rows: DataFrame, key: str = "chunk_id", text: str = "text", title
 def find_no_prose(chunks: DataFrame) -> DataFrame:
     """chunk_id of the chunks of which at least LEAST_REST of the words stand outside sentences; error pages, filler and unfilled templates left out.
 
-    Judged without the lines of pages that are no content; a chunk without other words isn't found. Nulls, repeats and empty tables as in statistics().
+    Judged without the lines of pages that are no content; a chunk without other words isn't found. Nulls, repeats and empty tables
+    as in statistics(). Texts up to SEGMENT characters are read once for both questions.
     """
-    told = statistics(chunks, title="title", kind="page_classification").filter(F.col("rest_share") >= LEAST_REST).select("chunk_id")
-    told = materialize(told.distinct(), "no-prose")
-    return told.join(small(materialize(residue.find_residue(chunks), "residue-ids")), "chunk_id", "left_anti")
+    rows = chunks.filter(F.col("chunk_id").isNotNull() & (F.trim("text") != "")).select("chunk_id", "text", "title", "page_classification")
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, told = [], []
+            for text, title, c in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                kinds.append(outline.kinds(text, title))
+                if len(text) > SEGMENT:
+                    told.append(None)
+                    continue
+                mine = kinds[-1] if c != "document" else [outline.LABEL if k >= outline.MENU else k for k in kinds[-1]]
+                prose, rest = outline.sentences(text.split("\n"), mine)
+                told.append(rest > 0 and rest >= LEAST_REST * (prose + rest))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *residue.read_texts(batch, kinds), pa.array(told, pa.bool_())], ["id", "sure", "trusted", "body", "words", "told"])
+
+    texts = materialize(rows.mapInArrow(read, f"id {kind}, {residue.READ}, told boolean"), "texts")
+    found = texts.filter("told").select("id")
+    if not texts.filter("told is null").isEmpty():
+        long = statistics(rows.filter(F.length("text") > SEGMENT), title="title", kind="page_classification")
+        found = found.unionByName(long.filter(F.col("rest_share") >= LEAST_REST).select(F.col("chunk_id").alias("id")))
+    out = found.distinct().join(small(materialize(residue.residue_ids(texts), "residue-ids")), "id", "left_anti")
+    return out.select(F.col("id").alias("chunk_id"))

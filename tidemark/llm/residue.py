@@ -1,9 +1,10 @@
 """Template residue, error pages and filler.
 
-1. Each text is read once: unfilled template fields and leftovers of failed substitutions label it at once; of the others, the body
-   of a short text (its lines without navigation and notices) becomes a masked string, and is labelled, as a trusted seed, where
-   each of its sentences is an error, a demand for scripts, a login or waiting, or filler.
-2. Copies are one body. Each body is keyed by its rarest runs of words, as many as it takes for two bodies that reach SIMILARITY to
+1. Each text is read once, whole: unfilled template fields, leftovers of failed substitutions and filler label it at once; of the
+   others, the body (its lines without navigation and notices of the site) becomes a masked string, and is labelled, as a trusted
+   seed, where each of its sentences is an error, a demand for scripts, a login or waiting, or filler.
+2. Copies are one body. A body that is near a labelled one is at most 1 / SIMILARITY as long, so bodies up to that length, as the
+   labels reach, are compared: each is keyed by its rarest runs of words, as many as it takes for two bodies that reach SIMILARITY to
    have a common one, and all bodies with a common key are compared, in cells of bounded size. SimHash tables don't serve here: in
    bodies of so few words one other word turns more bits than any tables can allow for.
 3. Pairs are verified by similarity of their runs of words, and trusted labels go along the connected components of what remains.
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,17 +27,11 @@ from tidemark.llm import outline
 from tidemark.operators.components import components
 from tidemark.plans.materialize import materialize, small
 
-#: Bits within which SimHashes were once compared; no pair is left out by it.
-DISTANCE = 3
 #: Words per run and least similarity of a verified pair.
 RUN, SIMILARITY = 5, 0.8
 SIMILARITY_TENTHS = round(10 * SIMILARITY)
 #: Bodies with a common run that are compared at once, about.
 PART = 500
-#: A body of more words is no mere notice, unless it is filler.
-BODY_WORDS = 60
-#: Texts of more words than this, navigation included, are read for fields and filler only.
-TEXT_WORDS = 400
 
 _name = r"[A-Za-z_][\w.-]*"
 #: Unfilled fields and leftovers of substitutions (patterns of the common template languages).
@@ -106,7 +100,7 @@ def unfilled(text: str) -> bool:
     for m in FIELDS.finditer(text):
         a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
         line = text[a : b if b >= 0 else len(text)]
-        if len(line) > 4000 or not outline.is_junk(line.replace(m[0], "field")):
+        if not outline.is_junk(line.replace(m[0], "field")):
             return True
     return False
 
@@ -117,14 +111,16 @@ def filler(text: str) -> bool:
     return len(words) >= 8 and sum(w in FILLER for w in words) >= 0.6 * len(words)
 
 
-def body(text: str, title: str | None, page: bool) -> list[str]:
-    """The lines that are content, bare; pages lose navigation and notices."""
-    kinds = outline.kinds(text, title)
+def body(text: str, title: str | None, page: bool, kinds: list[int] | None = None) -> list[str]:
+    """The lines that are content, bare; pages lose navigation and notices. kinds: those of outline.kinds(text, title), if known."""
+    kinds = outline.kinds(text, title) if kinds is None else kinds
     own = outline.bare(title)[0] if title else None
     out = []
     for line, k in zip(text.split("\n"), kinds):
+        if k == outline.BOX or k == outline.BOX_ITEM:
+            continue
         low = outline.bare(line)[0]
-        if not low or low == own or k == outline.BOX or k == outline.BOX_ITEM or page and k >= outline.MENU and not NOTICES.fullmatch(low):
+        if not low or low == own or page and k >= outline.MENU and not NOTICES.fullmatch(low):
             continue
         if line.startswith("[") and line.rstrip().endswith("]"):
             continue
@@ -150,15 +146,6 @@ def seed(lines: list[str]) -> bool:
     return told
 
 
-def simhash(words: list[str]) -> int:
-    """64 bits: the majority over the hashes of the words and their neighbours."""
-    features = words + [f"{a} {b}" for a, b in zip(words, words[1:])] or [""]
-    h = np.array([xxhash.xxh64_intdigest(f) for f in features], np.uint64)
-    ones = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=0)
-    bits = (ones * 2 > len(features)).astype(np.uint8)
-    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
-
-
 def similar(a: str, b: str) -> bool:
     """Runs of RUN words in common, by SIMILARITY; texts with fewer words must be the same."""
     x, y = a.split(), b.split()
@@ -168,32 +155,33 @@ def similar(a: str, b: str) -> bool:
     return bool(m and n) and len(m & n) >= SIMILARITY * len(m | n)
 
 
+def judge(text: str, title: str | None, page: bool, kinds: list[int] | None = None) -> tuple[bool, bool, str | None, int]:
+    """(sure, trusted, body, words): sure is a field or filler; trusted a seed; body the masked words of what is content, null if sure or without words."""
+    if unfilled(text):
+        return True, True, None, 0
+    lines = body(text, title, page, kinds)
+    low = text.lower()
+    if "ipsum" in low and filler("\n".join(lines)):
+        return True, True, None, 0
+    words = _word.findall(_hex.sub("#", " ".join(lines)))
+    if not words:
+        return False, False, None, 0
+    # without a hint it is no seed, but may still be near one
+    return False, next(_automaton().iter(low), None) is not None and seed(lines), " ".join(words), len(words)
+
+
+READ = "sure boolean, trusted boolean, body string, words int"
+
+
+def read_texts(batch: pa.RecordBatch, kinds: list[list[int]] | None = None) -> list[pa.Array]:
+    """The columns READ of a batch (id, text, title, class); kinds: those of the texts, if known."""
+    rows = [judge(t, ti, c != "document", kinds[i] if kinds else None) for i, (t, ti, c) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))))]
+    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.bool_(), pa.bool_(), pa.string(), pa.int32()))]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, title, class) -> (id, sure, trusted, body, hash): sure is a field or filler; body is null for long texts."""
-    search = _automaton().iter
     for batch in batches:
-        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        for i, text, title, kind in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if unfilled(text) or "ipsum" in text.lower() and filler("\n".join(body(text, title, kind != "document"))):
-                row = (i, True, True, None, None)
-            else:
-                if text.count(" ") + text.count("\n") > TEXT_WORDS:
-                    continue
-                # without a hint it is no seed, but short bodies may still be near one
-                hint = next(search(text.lower()), None) is not None
-                lines = body(text, title, kind != "document")
-                size = sum(x.count(" ") + 1 for x in lines)
-                if not lines or size > BODY_WORDS:
-                    continue
-                words = _word.findall(_hex.sub("#", " ".join(lines)))
-                if not words:
-                    continue
-                row = (i, False, hint and seed(lines), " ".join(words), simhash(words))
-            for column, value in zip(out, row):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.string()), pa.array(out[4], pa.int64())], ["id", "sure", "trusted", "body", "hash"]
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0), *read_texts(batch)], ["id", "sure", "trusted", "body", "words"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +223,44 @@ def near_bodies(bodies: DataFrame) -> DataFrame:
     once = (F.col("part_x") < F.col("part_y")) | (F.col("i") == F.col("j")) & (F.col("h_x") < F.col("h_y"))
     fit = F.least("size_x", "size_y") * 10 >= F.greatest("size_x", "size_y") * SIMILARITY_TENTHS
     met = x.join(y, ["run", "i", "j"]).filter(once & fit).select(F.least("h_x", "h_y").alias("h_x"), F.greatest("h_x", "h_y").alias("h_y")).distinct()
+    # pairs are far fewer than bodies
     named = bodies.select("body").mapInArrow(_named, "h bigint, body string")
     pairs = met.join(named.withColumnsRenamed({"h": "h_x", "body": "x"}), "h_x").join(named.withColumnsRenamed({"h": "h_y", "body": "y"}), "h_y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).mapInArrow(_verified, "a string, b string")
 
 
+def labelled_bodies(read: DataFrame) -> DataFrame | None:
+    """(body): the trusted bodies and those that labels reach along near bodies; None without a trusted body. read: (id, READ...), materialised."""
+    seeds = materialize(read.filter("trusted and body is not null").select("body", "words").distinct(), "seeds")
+    reach = seeds.agg(F.max("words")).first()[0]
+    if reach is None:
+        return None
+    while True:
+        # a body of w words has w - RUN + 1 runs, and its near ones at most 1 / SIMILARITY as many
+        bound = (max(reach, RUN) - RUN + 1) * 10 // SIMILARITY_TENTHS + RUN - 1
+        bodies = materialize(read.filter(F.col("body").isNotNull() & (F.col("words") <= bound)).groupBy("body").agg(F.max("trusted").alias("trusted"), F.max("words").alias("words")), "bodies")
+        pairs = materialize(near_bodies(bodies), "near")
+        if pairs.isEmpty():
+            return seeds.select("body")
+        groups = components(pairs)
+        trusted = bodies.filter("trusted").select("body")
+        marked = groups.join(groups.join(trusted, groups["node"] == trusted["body"]).select("component").distinct(), "component", "left_semi").select(F.col("node").alias("body"))
+        marked = materialize(seeds.select("body").unionByName(marked).distinct(), "labelled")
+        longest = marked.join(bodies.select("body", "words"), "body").agg(F.max("words")).first()[0]
+        if longest <= reach:
+            return marked
+        reach = longest
+
+
+def residue_ids(read: DataFrame) -> DataFrame:
+    """(id) of the residue among the read texts, once each. read: (id, READ...), materialised."""
+    sure = read.filter("sure").select("id")
+    bodies = labelled_bodies(read)
+    if bodies is None:
+        return sure.distinct()
+    return sure.unionByName(read.join(small(materialize(bodies, "labelled")), "body", "left_semi").select("id")).distinct()
+
+
 def find_residue(chunks: DataFrame) -> DataFrame:
     """chunk_id of the chunks that are an error message, a notice or filler, or have an unfilled field.
 
@@ -248,10 +269,5 @@ def find_residue(chunks: DataFrame) -> DataFrame:
     """
     rows = chunks.filter(F.col("chunk_id").isNotNull() & (F.trim("text") != "")).select("chunk_id", "text", "title", "page_classification")
     kind = rows.schema["chunk_id"].dataType.simpleString()
-    read = materialize(rows.mapInArrow(_read, f"id {kind}, sure boolean, trusted boolean, body string, hash bigint").distinct(), "residue")
-    bodies = materialize(read.filter(F.col("body").isNotNull()).groupBy("body").agg(F.first("hash").alias("hash"), F.max("trusted").alias("trusted")), "bodies")
-    groups = components(near_bodies(bodies))
-    seeds = bodies.filter("trusted").select("body")
-    marked = groups.join(groups.join(seeds, groups["node"] == seeds["body"]).select("component").distinct(), "component", "left_semi").select(F.col("node").alias("body"))
-    labelled = materialize(seeds.unionByName(marked).distinct(), "labelled")
-    return read.filter("sure").select("id").unionByName(read.join(small(labelled), "body", "left_semi").select("id")).distinct().select(F.col("id").alias("chunk_id"))
+    read = materialize(rows.mapInArrow(_read, f"id {kind}, {READ}"), "residue")
+    return residue_ids(read).select(F.col("id").alias("chunk_id"))
