@@ -26,6 +26,35 @@ def test_counts_are_weighed_by_their_ratio():
         assert {"county", "training", "ballot", "house", "horse"} <= set(out) and not {"coiinty", "fraining", "ballof"} & set(out), times
 
 
+def test_the_cheapest_path_is_the_reading():
+    decoder = scanned.Decoder(WORDS | {"today": 40, "to": 900, "day": 800, "mail": 300})
+    text = "The ballot regis\ntration form of the coun ty\nofficewill be sent to\nday before the regis-\ntrat1on and the mail-\nin ballot"
+    text = text.replace("coun ty", "coun ty office")
+    decoder.lexicon["county"] = 500
+    assert scanned.defects(text, None, decoder) == [(0, "split"), (3, "split")]
+    out = scanned.repaired(text, None, decoder).split()
+    assert out.count("registration") == 2 and "county" in out and "to" in out and "day" in out and "today" not in out
+    assert "office will" in " ".join(out)
+    # without the joint decoding nothing is found in the same text
+    decoder.decode = lambda lines: []
+    assert scanned.defects(text, None, decoder) == []
+
+
+def test_a_path_costs_no_more_than_any_other():
+    decoder = scanned.Decoder(WORDS)
+    lines = [["The", "b0ard", "regis"], ["tration", "off", "ice", "ofthe"], ["registra-"], ["tion", "w1th"]]
+    tokens = [t for x in lines for t in x]
+    looks, ends = [decoder.look(t) for t in tokens], {2: False, 6: False, 7: False, 9: False}
+    whole = decoder._stretch(tokens, looks, ends, 0, len(tokens))
+    assert sorted(decoder.decode(lines)) == sorted(whole)
+    assert [(i, k) for i, _, k in whole] == [(1, "misread"), (2, "bare"), (4, "spaced"), (6, "run"), (7, "hyphen"), (9, "misread")]
+
+
+def test_paragraphs_of_any_number_of_lines():
+    lines = ["the board of voters was set aside with the registration form and"] * 1500
+    assert len(scanned.repaired("\n".join(lines), None, scanned.Decoder(WORDS)).split("\n\n")) == 1
+
+
 def test_repair_gives_paragraphs():
     out = scanned.repaired(TEXT, None, scanned.Decoder(WORDS | {"board": 500}))
     assert "registration form." in out and "b0ard" not in out and "Page 12" not in out and len(out.split("\n\n")) == 2

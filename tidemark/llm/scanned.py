@@ -1,8 +1,11 @@
 """Repair of text from scanned pages.
 
 A lexicon (words with counts over the whole corpus, at most LEXICON of them) is counted first. Each chunk is then read without its
-page furniture, token by token: words with misrecognised characters (a confusion undone) and words broken at a line's end with a
-hyphen are looked up. Words broken without one, run together or with spaces within are not found. Paragraph boundaries between
+page furniture as one stream of tokens with the line ends taken out, over which a lattice is decoded. Its arcs are a token as
+printed, a token with confusions undone, a word broken at a line's end with or without a hyphen, a word with a space within, and two
+words run together; an arc costs what its words cost by their frequency, and what its kind of defect costs. The cheapest path is the
+reading: words broken over a line and misread words are found where it takes those arcs, and the repaired text is what it says.
+Tokens that have no arc but themselves divide the stream, and only the stretches between them are decoded. Paragraph boundaries between
 lines are chosen by dynamic programming over line lengths, ends of sentences and blank lines.
 """
 
@@ -33,6 +36,10 @@ CONFUSIONS: list[tuple[str, str]] = [
 SHORT = 1000
 #: Signs at a line's end that break a word.
 HYPHENS = "-‐‑¬­"
+#: What a kind of arc costs beside its words: confusions undone, a word taken for broken without a hyphen, with a space within, or run together.
+MISREAD, BARE, SPACED, RUN = math.log(RATIO), 2.0, 4.0, 6.0
+#: What it costs to leave a word unbroken before a sign that is no plain hyphen.
+SIGNED = 30.0
 _words = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*").findall
 _number = re.compile(
     r"\s*(?:\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|[-–—~*•]\s*\d{1,4}\s*[-–—~*•]|(?:page|pg\.?|p\.|seite|página|pag\.)\s*\d{1,4}(?:\s*(?:of|/|von|de)\s*\d{1,4})?|\d{1,4}\s*(?:of|/)\s*\d{1,4}|\d{1,4}|[ivxlc]{1,7})\s*", re.I
@@ -43,7 +50,7 @@ _verbs = re.compile(r"\b(?:is|are|was|were|will|may|must|said|had|has|have|can|c
 _told = re.compile(r"\b(?!detailed\b|unannounced\b|limited\b)[a-z]{2,}ed\b|\b(?:allows|leads|decides|opens|closes|keeps|makes|needs|store|ask|bring|submit)\b")
 _opening = re.compile(r"(?:to|in|if|when|during|please|according|even|as|before|after|once|while|unless|provided|no|every|early voting|parking|training for|results for|candidates|an?|could|i|we|he|she|they|it|this|that|there|january|february|march|april|may|june|july|august|september|october|november|december|street|road|lane|drive|avenue|court|pike) ", re.I)
 _name = re.compile(r"[A-Z0-9][\w'’.-]*")
-_broken = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*$")
+_broken = re.compile(rf"([^\W\d_]+)[{HYPHENS}]$")
 _begin = re.compile(r"\s*([^\W\d_]+)")
 _stop = re.compile(r"[.!?:;]['\")\]”]*\s*$")
 _core = re.compile(r"^[\s\"'“”‘’(\[{<.,;:?–—-]+|[\s\"'“”‘’)\]}>.,;:?!–—-]+$")
@@ -55,19 +62,19 @@ _alien = re.compile(r"[^a-zà-öø-ÿ'’-]")
 def broken(line: str) -> re.Match | None:
     """The last word of a line that ends with a hyphen."""
     end = line.rstrip()
-    return _broken.search(end, max(0, len(end) - 60)) if end and end[-1] in HYPHENS else None
+    return _broken.search(end.rsplit(None, 1)[-1]) if end and end[-1] in HYPHENS else None
 
 
 def heading(line: str) -> bool:
     """Reads like a title: starts with a capital or number, has no verb of a sentence and doesn't end one."""
     text = line.strip()
-    if not text or len(text) > 200:
-        return False
     words = text.split()
+    if not 2 <= len(words) <= 16:
+        return False
     low = text.lower()
     if text[0] == "[" or text[-1] == "]" or " through " in low and ", and " in low or _told.search(low) or _opening.match(low) or low.startswith("the ") and " and the " not in low:
         return False
-    return 2 <= len(words) <= 16 and bool(_name.match(text)) and not _stop.search(text) and not _verbs.search(text) and (text.isupper() or text[0].isupper()) and not text.endswith((",", "-", "of", "the", "and", "a"))
+    return bool(_name.match(text)) and not _stop.search(text) and not _verbs.search(text) and (text.isupper() or text[0].isupper()) and not text.endswith((",", "-", "of", "the", "and", "a"))
 
 
 def furniture(lines: list[str], title: str | None = None) -> list[bool]:
@@ -77,13 +84,14 @@ def furniture(lines: list[str], title: str | None = None) -> list[bool]:
     middle of a sentence.
     """
     n = len(lines)
-    out = [len(x) < 60 and bool(_number.fullmatch(x)) and any(c.isalnum() for c in x) for x in lines]
+    out = [bool(_number.fullmatch(x)) and any(c.isalnum() for c in x) for x in lines]
     if sum(out) > max(4, 0.3 * n):  # a column of numbers
         out = [False] * n
     for i, x in enumerate(lines):
-        if not out[i] and len(x) < 200 and (m := _numbered.fullmatch(x)) and "..." not in x:
+        text = x.strip()
+        if not out[i] and text and (text[0].isdigit() and "|" in text[:12] or text[-1].isdigit()) and "..." not in x and (m := _numbered.fullmatch(text)):
             part = m["a"] or m["b"]
-            if part and "|" not in part and "  " not in part and len(part) < 120 and (heading(part) or m["a"] and part[:1].isupper() and not _verbs.search(part)):
+            if part and "|" not in part and "  " not in part and (heading(part) or m["a"] and part[:1].isupper() and not _verbs.search(part)):
                 out[i] = True
     if sum(out) > max(4, 0.3 * n):
         return [False] * n
@@ -116,6 +124,7 @@ class Decoder:
         self.lexicon = lexicon
         self.total = sum(lexicon.values()) + 1
         self.known: dict[str, str | None] = {}
+        self.looks: dict[str, tuple[str, float, str | None, bool]] = {}
 
     def cost(self, word: str) -> float:
         """Cheap for frequent words; strings that are none cost by length."""
@@ -182,49 +191,125 @@ class Decoder:
         good = sum(all(p in self.lexicon or not _letters.search(p) for p in _split.split(w)) for w in words)
         return 2 * good >= len(words)
 
-    def parts(self, word: str) -> list[str] | None:
-        """Two known words run together, if that is cheaper than the word."""
-        if word in self.lexicon or len(word) < 6:
+    def parts(self, word: str) -> tuple[str, str] | None:
+        """The cheapest two known words that an unknown one may be, run together."""
+        if word in self.lexicon or len(word) < 5 or not word.isalpha():
             return None
-        best, found = self.cost(word), None
+        best, found = math.inf, None
         for i in range(2, len(word) - 1):
             a, b = word[:i], word[i:]
             if a in self.lexicon and b in self.lexicon and (c := self.cost(a) + self.cost(b)) < best:
-                best, found = c, [a, b]
+                best, found = c, (a, b)
         return found
 
-    def joins(self, left: str, right: str, sign: str) -> bool:
-        """Whether a line's last word, hyphened, goes on in the next line's first word, rather than being a compound."""
-        whole = (left + right).lower()
-        if whole in self.lexicon or self.undone(whole):
-            return True
-        both = left.lower() in self.lexicon and right.lower() in self.lexicon
-        return sign != "-" or not both or self.cost(whole) < self.cost(left.lower()) + self.cost(right.lower())
+    def look(self, token: str) -> tuple[str, float, str | None, bool]:
+        """(core, its cost, what was printed if it may be misread, whether it has no arc but itself)."""
+        seen = self.looks.get(token)
+        if seen is None:
+            if len(self.looks) > 300_000:
+                self.looks.clear()
+            core = _core.sub("", token).lower()
+            bare = core[:-2] if core.endswith(("'s", "’s")) else core
+            printed = self.misread(token)
+            known = not _letters.search(core) or all(p in self.lexicon or not _letters.search(p) for p in _split.split(bare))
+            cost = self.cost(bare) if bare in self.lexicon or not known else 0.0
+            seen = self.looks[token] = (bare, cost, printed, known and printed is None)
+        return seen
+
+    def over_line(self, left: str, right: str, upper: bool) -> float | None:
+        """What it costs to read a line's last and the next line's first token as one word; None where no word can be broken."""
+        if m := broken(left):
+            b = _begin.match(right)
+            if not b or not (b[1][:1].islower() or upper or left[-1] != "-"):
+                return None
+            whole = (m[1] + b[1]).lower()
+            cost = self.cost(whole)
+            if whole not in self.lexicon and (printed := self.undone(whole)):
+                cost = min(cost, self.cost(printed) + MISREAD)
+            return cost
+        a, c = left.lower(), _core.sub("", right).lower()
+        if not a.isalpha() or not c.isalpha() or not right[:1].islower() or a in self.lexicon and c in self.lexicon or a + c not in self.lexicon:
+            return None
+        return self.cost(a + c) + BARE
+
+    def decode(self, lines: list[list[str]]) -> list[tuple[int, int, str]]:
+        """The cheapest path over the tokens of lines: (first token, tokens, kind) of each arc other than a token as printed.
+
+        Tokens are numbered through all lines. Kinds are misread, hyphen and bare (one word over a line's end), spaced and run.
+        """
+        tokens = [t for line in lines for t in line]
+        ends, k = {}, 0  # the last token of each line -> whether the line is in capitals
+        for line in lines:
+            k += len(line)
+            if line:
+                ends[k - 1] = " ".join(line).isupper()
+        looks = [self.look(t) for t in tokens]
+        n, out = len(tokens), []
+        unsettled = [i for i, x in enumerate(looks) if not x[3]]
+        unsettled += [i for i in ends if tokens[i][-1] in HYPHENS]
+        at = 0
+        for i in sorted(set(unsettled)):
+            start = max(at, i - 1)
+            if start >= n or i + 1 < at:
+                continue
+            stop = i + 1
+            while stop < n and (not looks[stop][3] or not looks[stop - 1][3] or stop in ends and tokens[stop][-1] in HYPHENS or stop - 1 in ends and tokens[stop - 1][-1] in HYPHENS):
+                stop += 1
+            out += self._stretch(tokens, looks, ends, start, stop)
+            at = stop
+        return out
+
+    def _stretch(self, tokens: list[str], looks: list, ends: dict[int, bool], start: int, stop: int) -> list[tuple[int, int, str]]:
+        best = [math.inf] * (stop - start + 1)
+        back: list[tuple[int, str]] = [(0, "")] * (stop - start + 1)
+        best[0] = 0.0
+        for i in range(start, stop):
+            here, at = best[i - start], i - start
+            core, cost, printed, settled = looks[i]
+            arcs = [(1, cost, "")]
+            if i in ends and (m := broken(tokens[i])):
+                arcs = [(1, self.cost(m[1].lower()), "")]
+                if i + 1 < stop and (found := self.over_line(tokens[i], tokens[i + 1], ends[i])):
+                    arcs = [(1, arcs[0][1] + (SIGNED if tokens[i][-1] != "-" else 0.0), ""), (2, found, "hyphen")]
+            elif printed is not None:
+                arcs.append((1, min(cost, self.cost(printed) + MISREAD) - 1e-9, "misread"))
+            elif not settled and (two := self.parts(core)):
+                arcs.append((1, self.cost(two[0]) + self.cost(two[1]) + RUN, "run"))
+            if i + 1 < stop and not (i in ends and tokens[i][-1] in HYPHENS):
+                whole = core + looks[i + 1][0]
+                if i in ends:
+                    if (found := self.over_line(tokens[i], tokens[i + 1], ends[i])) is not None:
+                        arcs.append((2, found, "bare"))
+                elif tokens[i].isalpha() and not (settled and looks[i + 1][3]) and tokens[i + 1][:1].islower() and whole.isalpha() and whole in self.lexicon:
+                    arcs.append((2, self.cost(whole) + SPACED, "spaced"))
+            for length, c, kind in arcs:
+                if here + c < best[at + length]:
+                    best[at + length], back[at + length] = here + c, (length, kind)
+        path, at = [], stop - start
+        while at > 0:
+            length, kind = back[at]
+            if kind:
+                path.append((start + at - length, length, kind))
+            at -= length
+        return path[::-1]
 
 
 def defects(text: str, title: str | None, decoder: Decoder) -> list[tuple[int, str]]:
-    """(line_no, defect) of a chunk."""
+    """(line_no, defect) of a chunk: furniture by the layout, split and misread lines by the reading of the body."""
     lines = text.split("\n")
     marks = furniture(lines, title)
     out = [(i, "furniture") for i, m in enumerate(marks) if m]
     body = [i for i, x in enumerate(lines) if not marks[i] and x.strip()]
-    carried = False
-    for place, i in enumerate(body):
-        line = lines[i]
-        tokens = line.split()
-        first, last = 1 if carried else 0, len(tokens)
-        carried = False
-        if (m := broken(line)) and place + 1 < len(body) and (b := _begin.match(lines[body[place + 1]])):
-            sign = line.rstrip()[-1]
-            if b[1][:1].islower() or line.isupper() or not sign == "-":
-                if decoder.joins(m[1], b[1], sign):
-                    out.append((i, "split"))
-                    carried = True
-        if m:
-            last -= 1
-        if any(map(decoder.misread, tokens[first:last])) and decoder.reads(tokens):
-            out.append((i, "misread"))
-    return out
+    tokens = [lines[i].split() for i in body]
+    line_of = [k for k, line in enumerate(tokens) for _ in line]
+    seen = set()
+    for at, _, kind in decoder.decode(tokens):
+        k = line_of[at]
+        if kind in ("hyphen", "bare"):
+            seen.add((body[k], "split"))
+        elif kind == "misread" and (body[k], "misread") not in seen and decoder.reads(tokens[k]):
+            seen.add((body[k], "misread"))
+    return out + sorted(seen)
 
 
 def repaired(text: str, title: str | None, decoder: Decoder) -> str:
@@ -244,37 +329,44 @@ def repaired(text: str, title: str | None, decoder: Decoder) -> str:
     if not body:
         return ""
     width = max(len(x) for x, _ in body)
-    # best[j]: the least cost with a paragraph ending before line j; breaking and joining each cost what speaks against them
-    cost_break, cost_join = [], []
-    for (a, _), (b, gap) in zip(body, body[1:]):
+    # least[j]: the least cost of dividing the lines up to j. A gap's costs are what speaks against a break and against going on,
+    # and don't depend on how long the paragraph is, so that one step back is enough at any number of lines
+    least, starts = 0.0, [0]
+    for j, ((a, _), (b, gap)) in enumerate(zip(body, body[1:]), 1):
         ends, goes_on = bool(_stop.search(a)), b[:1].islower() or a[-1] in HYPHENS
         full = len(a) + len(b.split()[0]) + 1 > width * 0.9
-        cost_break.append(4.0 * goes_on + 2.0 * (not ends) + 1.5 * full + (0 if gap else 1.0) - 3.0 * (len(a.split()) <= 2 and heading(a)))
-        cost_join.append(3.0 * gap + 1.5 * (ends and not full) + 2.0 * heading(a))
-    best, back = [0.0] + [math.inf] * len(body), [0] * (len(body) + 1)
-    for j in range(1, len(body) + 1):
-        inside = 0.0
-        for i in range(j - 1, max(-1, j - 400), -1):
-            c = best[i] + inside + (cost_break[j - 1] if j < len(body) else 0.0)
-            if c < best[j]:
-                best[j], back[j] = c, i
-            if i > 0:
-                inside += cost_join[i - 1]
-    cuts, j = [], len(body)
-    while j > 0:
-        cuts.append((back[j], j))
-        j = back[j]
-    paragraphs = []
-    for i, j in reversed(cuts):
-        words: list[str] = []
-        for k in range(i, j):
-            tokens = body[k][0].split()
-            if words and (m := broken(words[-1])) and (b := _begin.match(tokens[0])) and decoder.joins(m[1], b[1], words[-1].rstrip()[-1]):
-                words[-1] = words[-1].rstrip()[:-1] + tokens[0]
-                tokens = tokens[1:]
-            words += tokens
-        paragraphs.append(" ".join(_restored(w, decoder) for w in words))
-    return "\n\n".join(paragraphs)
+        cost_break = 4.0 * goes_on + 2.0 * (not ends) + 1.5 * full + (0 if gap else 1.0) - 3.0 * (len(a.split()) <= 2 and heading(a))
+        cost_join = 3.0 * gap + 1.5 * (ends and not full) + 2.0 * heading(a)
+        least += min(cost_break, cost_join)
+        if cost_break < cost_join:
+            starts.append(j)
+    starts = set(starts)
+    tokens = [x.split() for x, _ in body]
+    arcs = {at: (length, kind) for at, length, kind in decoder.decode(tokens)}
+    paragraphs: list[list[str]] = []
+    flat = [(t, k, p == 0) for k, line in enumerate(tokens) for p, t in enumerate(line)]
+    i = 0
+    while i < len(flat):
+        token, k, opens = flat[i]
+        if opens and k in starts:
+            paragraphs.append([])
+        length, kind = arcs.get(i, (1, ""))
+        if length == 2 and i + 1 < len(flat) and flat[i + 1][2] and flat[i + 1][1] in starts:
+            length, kind = 1, ""  # no word goes on over a paragraph's end
+        if kind == "hyphen":
+            whole = token[:-1] + flat[i + 1][0]
+            token = _restored(whole, decoder)
+        elif length == 2:
+            token += flat[i + 1][0]
+        elif kind == "misread":
+            token = _restored(token, decoder)
+        elif kind == "run":
+            core = _core.sub("", token)
+            first, _ = decoder.parts(core.lower())
+            token = token.replace(core, core[: len(first)] + " " + core[len(first) :], 1)
+        paragraphs[-1].append(token)
+        i += length
+    return "\n\n".join(map(" ".join, paragraphs))
 
 
 def _restored(token: str, decoder: Decoder) -> str:
