@@ -16,7 +16,7 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own where the session names none (tests, one machine)."""
+    """The folder of spark.checkpoint.dir; on one machine a temporary one of our own where the session names none. A cluster must name one."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_before = context._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     context.setCheckpointDir(own)
     return own
@@ -36,12 +38,18 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     the interpreter ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    path = own_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new name for a folder in the shared folder, deleted by release()."""
+    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def release() -> None:
     """Delete what materialize() wrote."""
     while _written:
