@@ -301,7 +301,9 @@ SQL = {
         select chunk_id, len(u)::int as n_urls from c where chunk_id not in (select chunk_id from e where url in (select url from m where id % 5 = 0 and url is not null)) and chunk_id in (select chunk_id from e where url in (select url from m where crawl_status = 'crawled' and url is not null))
         union all select 'new-' || id, 1 from m where id % 5 = 0 and crawl_status = 'crawled' and url is not null""",
     "coverage_gap": _M + f"select distinct url from m where crawl_status = 'crawled' and (chunking_strategy is null or chunking_strategy <> 'skip') and url is not null and url not in (select unnest({_URLS}) from chunks)",
-    "id_parity": "select doc_id, 'missing' as side from (select distinct doc_id from review_labels where doc_id is not null) where doc_id not in (select doc_id from documents where doc_id < 500) union all select doc_id, 'orphan' from documents where doc_id < 500 and doc_id not in (select doc_id from review_labels where doc_id is not null)",
+    "id_parity": """
+        select doc_id, 'missing' as side from (select distinct doc_id from review_labels where doc_id is not null) where doc_id not in (select doc_id from documents)
+        union all select doc_id, 'orphan' from (select distinct doc_id from documents where doc_id is not null) where doc_id not in (select doc_id from review_labels where doc_id is not null)""",
     "upsert_last_wins": """
         with n as (select *, row_number() over (partition by id order by crawled_at desc nulls last, crawl_status desc nulls last, content_hash desc nulls last, url desc nulls last) as k from pages where id % 2 = 0),
         o as (select *, row_number() over (partition by id order by crawled_at nulls first, crawl_status nulls first, content_hash nulls first, url nulls first) as k from pages where id % 3 <> 0)
