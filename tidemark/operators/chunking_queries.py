@@ -40,8 +40,9 @@ def simple_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def single_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", T.stripped(F.col("text")).alias("t"))
-    return rows.filter((F.col("t") != "") & (T.word_count(F.col("t")) <= C.MOST_WORDS) & (F.length("t") <= C.MOST_CHARS)).select("doc_id", F.md5("t").alias("digest"), T.word_count(F.col("t")).alias("word_count"))
+    """Each text as one piece, those over the limits in the pieces that the limits make of them."""
+    rows = C.semantic(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text").select("doc_id", F.posexplode("pieces").alias("place", "t"))
+    return rows.filter("t <> ''").select("doc_id", "place", F.md5("t").alias("digest"), T.word_count(F.col("t")).alias("word_count"))
 
 
 def row_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -81,13 +82,16 @@ def sheet_guardrail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prose_row_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of a page of which over 80 % of the words occur in the page's table chunk with the lowest id."""
-    rows = table(spark, d, "chunks").filter(F.col("text").isNotNull() & F.col("source_url").isNotNull())
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    tables = rows.filter(F.col("chunking_strategy") == "table_rows").groupBy("source_url").agg(F.min_by(words, "chunk_id").alias("has"), F.min("chunk_id").alias("first"))
-    met = rows.join(tables, "source_url").filter(F.col("chunk_id") != F.col("first")).withColumn("mine", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    inside = F.size(F.filter("mine", lambda w: F.array_contains("has", w)))
-    return met.filter((F.size("mine") > 0) & (inside / F.size("mine") > 0.8)).select("chunk_id").distinct()
+    """Chunks of an odd index of which over 80 % of the words occur in the chunks of an even index of their page, taken for its rows.
+
+    Words are rows that meet a page's distinct words by page and word, so that a page with very many chunks is spread by its words.
+    """
+    rows = table(spark, d, "chunks").filter(F.col("text").isNotNull() & F.col("source_url").isNotNull()).select("chunk_id", "source_url", "chunk_index", "text").distinct()
+    words = rows.select("chunk_id", "source_url", (F.col("chunk_index") % 2 == 0).alias("even"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    has = words.filter("even").select("source_url", "w").distinct().withColumn("there", F.lit(1))
+    mine = words.filter("not even").groupBy("chunk_id", "source_url", "w").agg(F.count("*").alias("n"))
+    sums = mine.join(has, ["source_url", "w"], "left").groupBy("chunk_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("there", F.lit(0))).alias("inside"))
+    return sums.filter("inside > 0.8 * n").select("chunk_id")
 
 
 QUERIES = {
@@ -168,7 +172,7 @@ SQL = {
     "semantic_chunks": _PACK + f""" select doc_id, (row_number() over w - 1)::int as chunk_index, (count(*) over (partition by doc_id))::int as chunk_total,
         {_hex(_squeeze('text'), "'documents/' || doc_id", "(row_number() over w - 1)")} as chunk_id, {_count('text')}::int as word_count, length(text)::int as n_chars from kept window w as (partition by doc_id order by a, m)""",
     "semantic_chunks_english": _PACK + f", lang as ({_lang('kept')}) select doc_id, count(*) as chunks, sum({_count('text')})::bigint as words from lang where not ((nf >= 15 and nf / nl > 0.10) or {_IS_ES}) group by doc_id",
-    "single_chunks": f"select doc_id, md5(t) as digest, {_count('t')}::int as word_count from (select doc_id, {_strip('text')} as t from documents where text is not null) where t <> '' and {_count('t')} <= 500 and length(t) <= 20000",
+    "single_chunks": _PACK + f" select doc_id, (row_number() over (partition by doc_id order by a, m) - 1)::int as place, md5(t) as digest, {_count('t')}::int as word_count from pieces where t <> ''",
     "simple_chunks": rf"""
         with recursive d as (select doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '\n+', chr(10), 'g'), chr(10)), lambda p: {_strip('p')}), lambda p: p <> '') as s from documents where text is not null),
         run as (select doc_id, i, s, {_count('s')} as n, c, sum({_count('s')}) over (partition by doc_id) as total from (select doc_id, unnest(range(len(s)))::bigint as i, unnest(s) as s, len(s) as c from d)),
@@ -199,7 +203,7 @@ SQL = {
     "language_flags": f"select doc_id, round(coalesce(nf / nullif(nl, 0), 0.0), 6) as foreign_share, {_IS_ES} as spanish, ((nf >= 15 and coalesce(nf / nullif(nl, 0), 0) > 0.10) or {_IS_ES}) as no_english from ({_lang('(select doc_id, text from documents where text is not null)')})",
     "sheet_guardrail": "select l_suppkey, count(*) as raw_rows, case when count(*) > 200 then 0 else count(*) end as kept_rows from lineitem group by l_suppkey",
     "prose_row_containment": """
-        with c as (select chunk_id, source_url, chunking_strategy, regexp_extract_all(lower(text), '[a-z0-9]+') as w from chunks where text is not null and source_url is not null),
-        t as (select source_url, min_by(w, chunk_id) as has, min(chunk_id) as first from c where chunking_strategy = 'table_rows' group by source_url)
-        select distinct chunk_id from c join t using (source_url) where chunk_id <> first and len(w) > 0 and len(list_filter(w, lambda x: list_contains(has, x))) / len(w) > 0.8""",
+        with c as (select distinct chunk_id, source_url, chunk_index, regexp_extract_all(lower(text), '[a-z0-9]+') as w from chunks where text is not null and source_url is not null),
+        e as (select distinct source_url, unnest(w) as w from c where chunk_index % 2 = 0), o as (select chunk_id, source_url, unnest(w) as w from c where chunk_index % 2 <> 0)
+        select chunk_id from o left join e using (source_url, w) group by chunk_id having count(e.source_url) > 0.8 * count(*)""",
 }

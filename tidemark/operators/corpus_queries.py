@@ -37,7 +37,9 @@ def case_variant_urls(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.lower("source_url").alias("low")).agg(F.count("*").alias("variants"), F.min("source_url").alias("first")).filter("variants > 1")
 
 
-EXCLUDE = [(r"/petitions?/", "petitions"), (r"[-_](spanish|korean|amharic)[^/]*\.(pdf|docx?)$", "translated document"), (r"/(login|search|calendar)\b", "no content"), (r"\.(jpe?g|png|gif|zip|css|js|xml|json)$", "file type"), (r"/press_room/.*-(20[01][0-9]|202[0-2])\b", "old press release")]
+EXCLUDE = [
+    (r"/press_room/", "press"), (r"[-_](spanish|korean|amharic)[^/]*\.(pdf|docx?)$", "translated document"), (r"-results-", "results"), (r"\.(csv|xlsx)$", "file type"), (r"/(login|search|calendar)\b", "no content"),
+]
 
 
 def url_exclusion_reasons(spark: SparkSession, d: str) -> DataFrame:
