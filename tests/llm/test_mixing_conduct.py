@@ -100,3 +100,14 @@ def test_tables(spark):
     assert got == {"a_b": (3, 1), None: (1, 0), "c_d": (200, int(bad.sum()))}
     assert conduct.find_abuse(docs.limit(0), labels.limit(0)).count() == 0
     assert conduct.find_abuse(docs, labels.limit(0)).count() == 0
+
+
+def test_long_documents_never_go_over_their_part(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "WINDOW", 20)
+    rng = np.random.default_rng(6)
+    rows = [(i, "word " * int(rng.integers(1, 120)), "long_box" if i % 2 else "other_box") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("long_box", 0.2, 1), ("other_box", 0.8, 1)], "source string, target_share double, max_repeats int")
+    mixed, report = mixing.mix(df, targets)
+    shares = {r.source: r.actual_share for r in report.collect()}
+    assert abs(shares["long_box"] - 0.2) < 0.002 and mixed.filter("source = 'long_box' and tokens > 20").count() > 10

@@ -81,3 +81,15 @@ def test_recall_at_the_threshold():
         a, b = x[:289], np.concatenate((x[51:], x[:0]))  # 238 of 340 in common: 0.7
         hit += bool(np.intersect1d(nd.bands(a), nd.bands(b)).size)
     assert hit >= 298
+
+
+def test_groups_and_links_are_linear_in_the_input(spark):
+    """A hot class of copies next to near ones: a row per text, one link between two classes, and all pairs follow from both."""
+    base = [f"w{k}" for k in range(60)]
+    near = base[:-1] + ["other"]
+    rows = [(f"a{k:03}", " ".join(base)) for k in range(150)] + [(f"b{k}", " ".join(near)) for k in range(3)] + [("c", " ".join(f"z{k}" for k in range(40))), ("d", "too short"), ("e", None)]
+    df = spark.createDataFrame([*rows, rows[0]], "chunk_id string, text string")
+    groups = {r.chunk_id: (r.representative, r.links) for r in nd.near_duplicate_groups(df).collect()}
+    assert len(groups) == 154 and groups["a149"] == ("a000", 1) and groups["b2"] == ("b0", 1) and groups["c"] == ("c", 0)
+    assert [tuple(r) for r in nd.near_duplicate_links(df).collect()] == [("a000", "b0")]
+    assert nd.near_duplicate_groups(df.limit(0)).count() == 0

@@ -34,8 +34,13 @@ def test_variants_and_edge_cases():
     assert outline.kinds("Page titles in Old Town\nA page ends.", "Page titles in Old Town")[0] == outline.HEADING
 
 
+#: What other pages of a corpus hold; ratios are those of the corpus.
+PROSE = "\n".join(["The registrar opens the drop box every evening with two judges, counts the envelopes, and seals the box again before they leave the site."] * 6)
+
+
 def test_boilerplate_table(spark):
-    chunks = spark.createDataFrame([("c1", PAGE, "Some page", "prose", 1), ("c1", PAGE, "Some page", "prose", 1), ("c2", None, None, None, 1), ("c3", PAGE, None, "document", 1), ("c4", "", None, "faq", 1), (None, PAGE, None, "faq", 1)], "chunk_id string, text string, title string, page_classification string, path int")
+    more = [(f"p{k}", PROSE, None, "prose", 1) for k in range(10)]
+    chunks = spark.createDataFrame([*more, ("c1", PAGE, "Some page", "prose", 1), ("c1", PAGE, "Some page", "prose", 1), ("c2", None, None, None, 1), ("c3", PAGE, None, "document", 1), ("c4", "", None, "faq", 1), (None, PAGE, None, "faq", 1)], "chunk_id string, text string, title string, page_classification string, path int")
     pages = spark.createDataFrame([(7, "html", "crawled", "Skip to Content\nA sentence of the page ends here.", None), (8, "pdf", "crawled", "Skip to Content", None), (9, "html", "failed", "Skip to Content", None), (10, "html", "crawled", None, None)], "id long, content_type string, crawl_status string, extracted_snippet string, title string")
     found = {}
     for r in page_content.find_boilerplate(chunks, pages).collect():
@@ -159,3 +164,16 @@ def test_no_prose_leaves_out_residue(spark):
     rows = [("a", "- one place\n- two places\n- three places"), ("b", "- one {{place}}\n- two\n- three"), ("c", "This is a sentence. And this is another one.")]
     df = spark.createDataFrame([(*r, None, "prose") for r in rows], "chunk_id string, text string, title string, page_classification string")
     assert [r.chunk_id for r in quality.find_no_prose(df).collect()] == ["a"]
+
+
+def test_paths_are_rejected_by_their_ratios_alone(spark, monkeypatch):
+    """Without the ratios nothing is rejected; and a cookie box that holds the page's text in full sentences is kept."""
+    chunks = spark.createDataFrame([(f"c{k}", PAGE + "\n" + PROSE, "Some page", "prose") for k in range(40)], "chunk_id string, text string, title string, page_classification string")
+    pages = spark.createDataFrame([], "id long, content_type string, crawl_status string, extracted_snippet string, title string")
+    assert page_content.find_boilerplate(chunks, pages).count() == 40 * 12
+    monkeypatch.setattr(page_content, "WEIGHTS", (0.0, 0.0))
+    assert page_content.find_boilerplate(chunks, pages).count() == 0
+    monkeypatch.undo()
+    told = "We use cookies and other words in this text. " + "The office counts them, one by one; it reports, in full, what it finds. " * 8
+    kept = spark.createDataFrame([(f"c{k}", f"{told}\nHome\nVoting\nA short sentence ends here now.", None, "prose") for k in range(40)], "chunk_id string, text string, title string, page_classification string")
+    assert {r.line_no for r in page_content.find_boilerplate(kept, pages).collect()} == {1, 2}

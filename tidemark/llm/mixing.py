@@ -18,7 +18,7 @@ from tidemark.llm.conduct import source_name
 from tidemark.llm.tokens import count_table
 from tidemark.plans.materialize import materialize, small
 
-#: Lengths that the exact fit uses; longer documents are only taken in the first part, by their hash.
+#: Lengths that the exact fit uses; longer documents are taken in the order of their hash up to their part of the tokens.
 WINDOW = 8192
 #: Tokens left to the dynamic program at most.
 RESIDUE = 60_000
@@ -113,21 +113,25 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     rest = {s: budgets[s] - rounds[s] * have[s][0] if rounds[s] < there[s][1] else 0 for s in there}
     spark = documents.sparkSession
     place = F.xxhash64(F.lit(seed), "doc_id")
-    unit = F.pmod(F.shiftrightunsigned(place, 20), F.lit(1 << 30)) / float(1 << 30)
     plan = [(s, rounds[s], rest[s] / have[s][0] if rest[s] else 0.0) for s in there]
     plans = spark.createDataFrame(plan or [("", 0, 0.0)], "source string, rounds int, fraction double")
     rows = sized.join(F.broadcast(plans), "source").withColumn("place", place)
-    # longer documents: by their hash, a little less than their part, so that the exact fit has room
-    long = rows.filter(F.col("tokens") > WINDOW).withColumn("extra", (unit < F.col("fraction") * 0.98).cast("int"))
+    # longer documents: in the order of their hash as long as they fit their part of the rest, so that they never go over it;
+    # sums per range of hashes first, and only within a range row by row
+    long = rows.filter(F.col("tokens") > WINDOW).withColumn("range", F.shiftrightunsigned("place", 64 - 12))
+    steps = long.groupBy("source", "range").agg(F.sum("tokens").alias("t"), F.max("fraction").alias("fraction"))
+    sofar, whole_source = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("source")
+    steps = steps.select("source", "range", F.coalesce(F.sum("t").over(sofar), F.lit(0)).alias("before"), F.floor(F.sum("t").over(whole_source) * F.col("fraction")).alias("quota"))
+    inside = F.sum("tokens").over(Window.partitionBy("source", "range").orderBy("place", "doc_id"))
+    long = materialize(long.join(steps, ["source", "range"]).withColumn("extra", (F.col("before") + inside <= F.col("quota")).cast("int")), "long")
     spent = {r["source"]: r["t"] for r in long.filter("extra = 1").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    over = {s for s, t in spent.items() if t > rest.get(s, 0)}
     short = rows.filter(F.col("tokens") <= WINDOW)
     table = short.filter("fraction > 0").groupBy("source", "tokens").agg(F.count("*").alias("n")).toPandas()
     chosen = []
     for s, part in table.groupby("source"):
         part = part.sort_values("tokens")
         lengths, counts = part["tokens"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
-        taken = plan_source(lengths, counts, 0 if s in over else spent.get(s, 0), rest[s])
+        taken = plan_source(lengths, counts, spent.get(s, 0), rest[s])
         chosen += [(s, int(n), int(k)) for n, k in zip(lengths, taken) if k]
     picked = spark.createDataFrame(chosen or [("", 0, 0)], "source string, tokens bigint, take bigint")
     # ranks within a length, by ranges of the hash: counts per range first, and only the range at the edge is ranked row by row
@@ -138,8 +142,6 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     placed = hot.join(edges, ["source", "tokens", "range"], "left")
     rank = F.row_number().over(Window.partitionBy("source", "tokens", "range").orderBy("place", "doc_id"))
     short = placed.withColumn("extra", F.coalesce((F.col("before") + rank <= F.col("take")).cast("int"), F.lit(0)))
-    if over:
-        long = long.withColumn("extra", F.when(F.col("source").isin(*over), 0).otherwise(F.col("extra")))
     columns = ["doc_id", "source", "tokens", (F.col("rounds") + F.col("extra")).cast("int").alias("repeats")]
     mixed = long.select(*columns).unionByName(short.select(*columns)).filter("repeats > 0")
     mixed = materialize(mixed, "mix")

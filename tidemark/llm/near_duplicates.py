@@ -1,12 +1,14 @@
 """Near-duplicate texts by a blocked sparse matrix product of documents and n-grams.
 
-Rows of the matrix are classes of texts with the same words, columns are compound n-grams: BANDS columns per text, each made of
-ROWS minima of hash functions over the text's distinct n-grams. (Single n-grams make too many products: on text from templates
-the rarest 30 % of a text's trigrams meet 3,800 times as many pairs as there are near-duplicates.) Columns are dealt to blocks by
-hash; a block multiplies its columns and adds up how often a pair of rows met, leaving out pairs whose sizes alone rule out the
-threshold. Pairs from all blocks are added up and then verified exactly on the full n-gram sets.
-
-Two texts of similarity s share a column with probability 1 - (1 - s**ROWS)**BANDS, or about 0.9995 at s = 0.7 and 0.99999 at 0.8.
+Rows of the matrix are classes of texts with the same words. Single n-grams as columns make too many products: on text from
+templates the rarest 30 % of a text's trigrams meet 3,800 times as many pairs as there are near-duplicates. So the columns are
+compound n-grams, which is to say banded MinHash: BANDS columns per text, each made of ROWS minima of hash functions over the text's
+distinct n-grams. Columns are dealt to blocks by hash; a block multiplies its columns and leaves out pairs whose sizes alone rule
+out the threshold. How often a pair meets is not used to leave out more. The pairs of all blocks are verified exactly on the full
+n-gram sets.
+
+Two texts of similarity s share a column with probability 1 - (1 - s**ROWS)**BANDS if the columns' minima were independent. As
+BANDS * ROWS picks share HASHES minima, it is less: measured 0.9992 at s = 0.7, and above 0.9999 at 0.8.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from tidemark.plans.materialize import materialize, small
 #: Words per n-gram, least similarity, and words that a text must have.
 WORDS, SIMILARITY, LEAST_WORDS = 3, (7, 10), 30
 HASHES, ROWS, BANDS = 240, 7, 110
+#: Bytes of columns that a block holds, about.
+BLOCK_BYTES = 64 << 20
 #: Columns with more rows are multiplied in sub-blocks of this size, spread over tasks.
 SUBBLOCK = 2048
 #: Copies of one text up to which all their pairs are given, and the product of two classes' sizes up to which all pairs
@@ -246,16 +250,17 @@ def _hot_pairs(postings: DataFrame, hot: DataFrame) -> DataFrame:
 _PAIRS = pa.schema([("low", pa.int64()), ("high", pa.int64()), ("met", pa.int64())])
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """(low, high, met): pairs of classes (first hashes) that share columns, and in how many they meet. texts: (id, text), not null."""
+def candidate_pairs(texts: DataFrame, count: int = 0) -> DataFrame:
+    """(low, high): pairs of classes (first hashes) that share columns. texts: (id, text), not null; count: how many there are, about."""
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * BANDS * 16 // BLOCK_BYTES))
     postings = texts.mapInArrow(_postings, "column bigint, row bigint")
-    blocks = postings.repartition(F.shiftright("column", 16)).sortWithinPartitions("column", "row")
+    blocks = postings.repartition(parts, F.shiftright("column", 16)).sortWithinPartitions("column", "row")
     products = materialize(blocks.mapInArrow(_block, "low bigint, high bigint, met bigint"), "products")
     pairs = products.filter(F.col("high").isNotNull())
     hot = products.filter(F.col("high").isNull()).select(F.col("low").alias("key"), F.col("met").alias("n"))
     if hot.count():
         pairs = pairs.unionByName(_hot_pairs(postings, hot))
-    return pairs.groupBy("low", "high").agg(F.sum("met").alias("met"))
+    return pairs.select("low", "high").distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +292,7 @@ def near_duplicates(rows: DataFrame, key: str = "chunk_id", text: str = "text")
     """
     texts, members = _prepared(rows, key, text)
     reps = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    pairs = materialize(candidate_pairs(texts), "pairs")
+    pairs = materialize(candidate_pairs(texts, members.count()), "pairs")
     wanted = pairs.select(F.col("low").alias("h1")).unionByName(pairs.select(F.col("high").alias("h1"))).distinct()
     involved = materialize(reps.join(small(materialize(wanted, "wanted")), "h1", "left_semi").select("h1", "rep"), "involved")
     found = texts.join(small(involved), texts["id"] == involved["rep"]).select("h1", "rep", "text").dropDuplicates(["rep"])
@@ -301,6 +306,24 @@ def near_duplicates(rows: DataFrame, key: str = "chunk_id", text: str = "text")
     return named, links
 
 
+def near_duplicate_groups(rows: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, representative, links): a row per text of LEAST_WORDS words or more: the least id with the same words, and to how many other
+    classes its class is linked. The size of the result is that of the input, however many copies a text has.
+
+    An id delivered twice with the same words is one row; null and shorter texts have none; an empty table gives no rows.
+    """
+    members, links = near_duplicates(rows, key, text)
+    links = materialize(links, "links")
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(ends, "rep", "left").select(F.col("id").alias(key), F.col("rep").alias("representative"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_duplicate_links(rows: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(a, b), a < b: the links between the representatives of classes of different words that reach SIMILARITY; with
+    near_duplicate_groups() these are all pairs, copies not expanded."""
+    return near_duplicates(rows, key, text)[1].distinct()
+
+
 def near_duplicate_pairs(rows: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(a, b), a < b, of different ids whose texts reach SIMILARITY in distinct runs of WORDS words.
 

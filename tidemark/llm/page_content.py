@@ -2,8 +2,10 @@
 
 Each line is a leaf of the page's rebuilt tag tree; its path is root, zone (before, in or after the body), the enclosing block and
 the leaf's tag with its marker (outline.py). Over the whole corpus, text length and punctuation are added up per path; the two
-ratios are smoothed towards those of the path's block and of the corpus, fused with what the path's tag announces, and paths
-under the threshold are no content. There are at most a few hundred paths, so their sums are all that leaves the executors.
+ratios are smoothed towards those of the path's block and of the corpus and fused, and paths under the threshold are no content.
+Headings, entries of lists and tables and remains within the body are as short as navigation, so tags that announce content have
+CONTENT to their credit; nothing is held against the others but their ratios, by which alone a path is rejected. There are at most
+a few hundred paths, so their sums are all that leaves the executors.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from tidemark.llm import outline
 #: Characters to which the snippets of pages are shortened.
 SNIPPET = 500
 #: Lines with which a path's ratios are smoothed.
-PRIOR_LINES = 200
-#: What a tag announces, in the units of the log ratios; content tags count for content, the others against.
-ANNOUNCED = 6.0
+PRIOR_LINES = 20
+#: What tags that announce content count, in the units of the log ratios.
+CONTENT = 3.5
 #: Weights of the log ratios of text length and punctuation, and the threshold of the fused score.
-WEIGHTS, THRESHOLD = (0.5, 0.5), 0.0
+WEIGHTS, THRESHOLD = (0.75, 0.25), 0.0
 _PUNCTUATION = set(".,;:!?。，！？¿¡")
 
 
@@ -69,14 +71,16 @@ def content_scores(sums: list[tuple[str, int, int, int]]) -> dict[str, float]:
             blocks[path.rpartition(">")[0]][k] += t[k]
             whole[k] += t[k]
     out = {}
-    base = [(whole[k] + 1) / (whole[0] + 1) for k in (1, 2)]
+    # the ratios of the path on which a character, or a mark, of the corpus stands on average
+    base = [sum(t[k] * t[k] / t[1] for t in sums) / max(whole[k - 1], 1) for k in (2, 3)]
+    tags = tuple(">" + name.replace(".", ">") for kind, name in outline.NAMES.items() if kind < outline.MENU)
     for path, n, chars, marks in sums:
-        score = ANNOUNCED if not any(path.endswith(outline.NAMES[k].replace(".", ">")) for k in outline.NAMES if k >= outline.MENU) else -ANNOUNCED
+        score = CONTENT if path.endswith(tags) else 0.0
         block = blocks[path.rpartition(">")[0]]
         for weight, got, k, mean in zip(WEIGHTS, (chars, marks), (1, 2), base):
             above = (block[k] + PRIOR_LINES * mean) / (block[0] + PRIOR_LINES)
             ratio = (got + PRIOR_LINES * above) / (n + PRIOR_LINES)
-            score += weight * math.log(max(ratio, 1e-3) / mean)
+            score += weight * math.log(max(ratio, 1e-3) / max(mean, 1e-3))
         out[path] = score
     return out
 

@@ -35,6 +35,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumnsRenamed({"a": "chunk_a", "b": "chunk_b"})
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(_chunks(spark, sf_dir))
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_links(_chunks(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.find_no_prose(_chunks(spark, sf_dir))
 
@@ -87,7 +95,12 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conduct.rates(_documents(spark, sf_dir), table(spark, sf_dir, "review_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_content": p4_content, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_cleaned, p2_found, p2_groups, p2_links, p3_found, p3_statistics, p4_found, p4_content, p5_found, p5_repaired, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates,
+    )
+}
 
 _P1 = r"""
     with c as (
