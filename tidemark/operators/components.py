@@ -27,6 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes_alone = edges.filter(F.col("x") == F.col("y")).select(F.col("x").alias("node"))
     now = materialize(edges.filter(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
     state = _state(now)
+    if not state[0]:
+        return nodes_alone.select("node", F.col("node").alias("component")).distinct()
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -103,12 +103,12 @@ def transfer_plan(listing: DataFrame, state: DataFrame, key: str, digest: str) -
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, depth: int) -> list[DataFrame]:
-    """The nodes first reached at each depth, breadth first. edges: (source, target); seeds: (node). One materialised level per step."""
+    """The nodes first reached at each depth, breadth first. edges: (source, target), read once; seeds: (node). One materialised level per step."""
     from tidemark.plans.materialize import materialize
 
     levels = [materialize(seeds.select("node", F.lit(0).alias("depth")).distinct(), "level")]
     seen = levels[0].select("node")
-    links = edges.select("source", F.col("target").alias("node")).dropna().distinct()
+    links = materialize(edges.select("source", F.col("target").alias("node")).dropna().distinct(), "links")
     for k in range(1, depth + 1):
         step = links.join(levels[-1].select(F.col("node").alias("source")), "source", "left_semi").select("node").distinct()
         level = materialize(step.join(seen, "node", "left_anti").select("node", F.lit(k).alias("depth")), "level")
