@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import routing, upkeep
+from tidemark.operators import classify, routing, upkeep
 from tidemark.operators.chunking_queries import _count, _strip
 from tidemark.operators.corpus_queries import _M, _RE, _url_set, manifest
 from tidemark.sources.tables import table
@@ -198,10 +198,33 @@ def json_lines(spark: SparkSession, d: str) -> DataFrame:
     return upkeep.numbered_lines(rows, "k int").select("line_no", "row.k", "fault")
 
 
+SIGNALS = classify.Signals(
+    junk="/about/.*sample", link_index="/forms?/|index[.]html", faq="questions about", faq_path="/faq", press="press_room|for immediate release", location="/earlyvoting/", table="-results-", form="agent form|petition", banners=["skip to content", "home"],
+)
+
+
+def page_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Crawled page rows by class and strategy; every eleventh has the markup of an FAQ, every seventh a table of as many rows as its depth and three more."""
+    rows = table(spark, d, "pages").filter("crawl_status = 'crawled'")
+    kind = classify.page_class(
+        F.col("url"), F.col("title"), F.col("extracted_snippet"), F.col("word_count"), F.col("content_type"), F.col("id") % 11 == 0, F.when(F.col("id") % 7 == 0, F.col("depth") + 3), SIGNALS
+    )
+    out = rows.select(kind.alias("page_class"), classify.strategy(kind, F.col("word_count")).alias("strategy"))
+    return out.groupBy("page_class", "strategy").agg(F.count("*").alias("n"))
+
+
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of an audit as one table (section, name, n)."""
+    pages = manifest(spark, d)
+    names = {"class": "page_classification", "strategy": "chunking_strategy", "type": "content_type", "status": "crawl_status", "exclusion": "exclusion_reason", "depth": "depth"}
+    each = pages.select(F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("name")) for k, c in names.items()])).alias("x"))
+    return each.groupBy("x.section", "x.name").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        payload_kinds, text_cascade, document_structures, effective_strategies, page_results, banner_strip, chunk_metadata, page_hierarchies, answer_caps, file_routing, hash_claims, table_columns, column_order,
+        page_classes, audit_report, payload_kinds, text_cascade, document_structures, effective_strategies, page_results, banner_strip, chunk_metadata, page_hierarchies, answer_caps, file_routing, hash_claims, table_columns, column_order,
         folder_walk, folder_ids, ingest_plan, local_drift, local_paths, intact_files, review_report, verify_gate, offender_samples, web_and_files, vector_store, reclassified_pages, json_lines,
     )
 }
@@ -220,6 +243,16 @@ _EXT = rf"lower(regexp_extract(regexp_extract({{0}}, {_RE}, 5), '\.([^./]+)$', 1
 _FAULTS = {"empty": "e", "short": "not e and length(text) < 50", "long": "not e and length(text) > 8000", "no source": "source_url is null", "none": "not e and contains(text, 'None: never')"}
 _FAULTY = f"(select distinct chunk_id, text, source_url, text is null or {_strip('text')} = '' as e from chunks)"
 SQL = {
+    "page_classes": """with p as (select *, lower(coalesce(url, '')) as u, lower(coalesce(title, '')) as t, coalesce(word_count, 0) as n, lower(coalesce(case when (starts_with(lower(extracted_snippet), 'skip to content') or starts_with(lower(extracted_snippet), 'home'))
+            and contains(extracted_snippet, chr(10)) then ltrim(substr(extracted_snippet, instr(extracted_snippet, chr(10)) + 1), ' ') else extracted_snippet end, '')) as b, case when id % 7 = 0 then coalesce(depth, 0) + 3 else 0 end as r from pages where crawl_status = 'crawled'),
+        c as (select *, case when content_type <> 'html' then 'document' when regexp_matches(u, '/about/.*sample') then 'junk' when regexp_matches(u, '/forms?/|index[.]html') then 'nav_hub' when contains(u || ' ' || t, 'questions about') or contains(u, '/faq') then 'faq'
+            when regexp_matches(u || ' ' || t, 'press_room|for immediate release') or regexp_matches(substr(b, 1, 2000), 'press_room|for immediate release') then 'press_release' when contains(u, '/earlyvoting/') then 'location_list' when contains(u, '-results-') then 'table_data'
+            when regexp_matches(u || ' ' || t, 'agent form|petition') then 'form' when n >= 500 then 'prose' when n < 150 and id % 11 <> 0 and r < 5 then 'short_static' when id % 11 = 0 then 'faq' when r >= 5 then 'table_data' else 'nav_hub' end as k from p)
+        select k as page_class, case when n = 0 and k not in ('junk', 'document') then 'skip' else case k when 'junk' then 'skip' when 'faq' then 'qa_pairs' when 'press_release' then 'simple' when 'table_data' then 'table_rows' when 'form' then 'simple'
+            when 'prose' then 'semantic' when 'document' then 'document' else 'single' end end as strategy, count(*) as n from c group by 1, 2""",
+    "audit_report": _M.replace("from (select *, row_number()", "from (select *, row_number()").replace("word_count desc nulls last)", "word_count desc nulls last, depth desc nulls last, exclusion_reason desc nulls last, http_status desc nulls last)") + ", x as (" + " union all ".join(
+        f"select '{k}' as section, coalesce({c}::varchar, 'none') as name from m" for k, c in {"class": "page_classification", "strategy": "chunking_strategy", "type": "content_type", "status": "crawl_status", "exclusion": "exclusion_reason", "depth": "depth"}.items()
+    ) + ") select section, name, count(*) as n from x group by 1, 2",
     "payload_kinds": f"""with l as (select ['application/pdf', 'text/html', 'text/csv', 'application/octet-stream', null][id % 5 + 1] as m, {_EXT.format('target_url')} as e from links)
         select case m when 'application/pdf' then 'pdf' when 'text/html' then 'html' when 'text/csv' then 'csv' else case when e in ('pdf', 'doc', 'docx', 'xls', 'xlsx', 'csv', 'html', 'txt') then e when e = 'xlsm' then 'xlsx' when e = 'htm' then 'html' end end as kind, count(*) as n from l group by 1""",
     "text_cascade": f"""with c as (select doc_id, unnest([1, 2, 3]) as p, unnest([case when doc_id % 3 = 0 then substr(text, 1, 40) end, substr(text, 1, 5), case when doc_id % 2 = 0 then text end]) as text from documents),

@@ -24,6 +24,29 @@ def faq_pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("source_url").agg(F.count("*").alias("pairs"), F.sum(T.word_count(F.col("p.question")) + T.word_count(F.col("p.answer"))).alias("words"))
 
 
+def _pairs_page(spark: SparkSession, d: str, item: Column) -> DataFrame:
+    """Pairs found in pages whose questions and answers stand in the given markup."""
+    rows = table(spark, d, "chunks").select("source_url", "question", "answer").dropna().filter("trim(question) <> '' and trim(answer) <> ''").distinct()
+    pages = rows.groupBy("source_url").agg(F.concat(F.lit("<title>x</title><main>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</main>")).alias("html"))
+    found = html.read_pages(pages, "source_url").select("source_url", F.explode("pairs").alias("p"))
+    return found.groupBy("source_url").agg(F.count("*").alias("pairs"), F.sum(T.word_count(F.col("p.question")) + T.word_count(F.col("p.answer"))).alias("words"))
+
+
+def details_pairs(spark: SparkSession, d: str) -> DataFrame:
+    q, a = _escaped(F.col("question")), _escaped(F.col("answer"))
+    return _pairs_page(spark, d, F.concat(F.lit("<details><summary>"), q, F.lit("</summary><p>"), a, F.lit("</p></details>")))
+
+
+def heading_pairs(spark: SparkSession, d: str) -> DataFrame:
+    q, a = _escaped(F.col("question")), _escaped(F.col("answer"))
+    return _pairs_page(spark, d, F.concat(F.lit("<h3>"), q, F.lit("</h3><p>"), a, F.lit("</p>")))
+
+
+def bold_pairs(spark: SparkSession, d: str) -> DataFrame:
+    q, a = _escaped(F.col("question")), _escaped(F.col("answer"))
+    return _pairs_page(spark, d, F.concat(F.lit("<p><strong>"), q, F.lit("</strong></p><p>"), a, F.lit("</p>")))
+
+
 def html_table_rows(spark: SparkSession, d: str) -> DataFrame:
     cells = F.concat(*[F.concat(F.lit("<td>"), _escaped(F.col(c).cast("string")), F.lit("</td>")) for c in ("s_suppkey", "s_name", "s_nationkey")])
     body = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<tr>"), cells, F.lit("</tr>")))), "")
@@ -57,7 +80,7 @@ def csv_rows(spark: SparkSession, d: str) -> DataFrame:
     return found.select("path", "status", F.explode(F.slice(F.split("p.text", "\n"), 2, 10_000)).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (faq_pairs, html_table_rows, page_links, page_titles, csv_rows)}
+QUERIES = {f.__name__: f for f in (faq_pairs, details_pairs, heading_pairs, bold_pairs, html_table_rows, page_links, page_titles, csv_rows)}
 
 _WC = r"len(list_filter(string_split(trim(regexp_replace({0}, '[\s\x{A0}\x{3000}\x{2000}-\x{200A}\x{85}\x{1C}-\x{1F}]+', ' ', 'g')), ' '), lambda x: x <> ''))"
 _OPEN = ", ".join(f"'{o}'" for o in html.OPENERS)
@@ -71,3 +94,5 @@ SQL = {
     "page_titles": r"select distinct id, nullif(trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g')), '') as title, 'Text' as text from pages",
     "csv_rows": "select 'n' || s_nationkey || '.csv' as path, 'ok' as status, 'key: ' || s_suppkey || ' | name: ' || s_name as line from supplier",
 }
+for _name in ("details_pairs", "heading_pairs", "bold_pairs"):
+    SQL[_name] = SQL["faq_pairs"]
